@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality, url_filter
+from . import html_extract, ngram_join, quality, url_filter
 
 QUERIES = {
+    "op1_ngram_jaccard_join": ngram_join.query,
+    "op2_html_extraction": html_extract.query,
     "op5_quality_rules": quality.query,
     "op6_url_filters": url_filter.query,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_ngram_jaccard_join": ngram_join.SQL}
