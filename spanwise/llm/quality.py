@@ -1,9 +1,9 @@
 """Quality rules: fixed base rules plus adaptive thresholds from mergeable quantile sketches.
 
-DataFrame functions only. Two passes over the texts: the first feeds a few cheap measures into
-``percentile_approx`` (a mergeable quantile summary, combined map-side, so a hot source moves one
-summary per task), per (lang, source), per lang and over all; the second computes every measure in
-its row, joins the thresholds and decides. Texts are never shuffled.
+DataFrame functions only. Measures are computed inside the row and written without the texts; from
+them ``percentile_approx`` (a mergeable quantile summary, combined map-side, so a hot source moves one
+summary per task) gives quartiles per (lang, source), per lang and over all; the thresholds they set
+are joined back to decide. Texts are never shuffled.
 
 Defined results: null text counts as empty; null lang or source form groups of their own (null-safe
 joins); repeated rows are judged row by row; an empty table gives an empty result; a group with fewer
@@ -124,22 +124,32 @@ def thresholds(measures: DataFrame, min_group: int = MIN_GROUP, spreads: float =
     return wide.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[pick(f"{m}_{side}") for m in MEASURES for side in ("low", "high")])
 
 
-def judge(docs: DataFrame, text: str = "text", min_group: int = MIN_GROUP, spreads: float = SPREADS) -> DataFrame:
-    """Every row with its measures, ``base_failed`` and ``kept``."""
-    rows = measured(docs, text)
-    bounds = written(thresholds(rows, min_group, spreads), "quality-bounds")
+def decide(rows: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Measured rows with ``kept``: the base rules hold and every measure lies within its group's bounds."""
     if bounds.count() <= BROADCAST_GROUPS:
         bounds = F.broadcast(bounds)
     rows = rows.join(bounds, rows["lang"].eqNullSafe(bounds["_lang"]) & rows["source"].eqNullSafe(bounds["_source"]), "left")
     inside = F.lit(True)
     for m in MEASURES:
         inside = inside & F.coalesce(F.col(m).between(F.col(f"{m}_low"), F.col(f"{m}_high")), F.lit(True))
-    kept = ~F.col("base_failed") & inside
-    return rows.withColumn("kept", kept).drop("_lang", "_source", *[f"{m}_{s}" for m in MEASURES for s in ("low", "high")])
+    return rows.withColumn("kept", ~F.col("base_failed") & inside).drop("_lang", "_source", *[f"{m}_{s}" for m in MEASURES for s in ("low", "high")])
+
+
+def judge(docs: DataFrame, text: str = "text", min_group: int = MIN_GROUP, spreads: float = SPREADS) -> DataFrame:
+    """Every row, with its text, its measures, ``base_failed`` and ``kept``. Reads the texts twice and moves none."""
+    rows = measured(docs, text)
+    cheap = written(rows.select("lang", "source", "n_words", *MEASURES), "quality-measures")
+    return decide(rows, written(thresholds(cheap, min_group, spreads), "quality-bounds"))
+
+
+def judge_measures(docs: DataFrame, keep: tuple[str, ...], text: str = "text", min_group: int = MIN_GROUP, spreads: float = SPREADS) -> DataFrame:
+    """As ``judge``, without the text: columns ``keep`` and the measures. Reads the texts once."""
+    rows = written(measured(docs, text).select(*dict.fromkeys((*keep, "lang", "source", *ADDED[:7], *MEASURES))), "quality-measures")
+    return decide(rows, written(thresholds(rows, min_group, spreads), "quality-bounds"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return judge(docs).select(
+    return judge_measures(docs, ("doc_id",)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
