@@ -90,6 +90,14 @@ def _fits(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def _fitting(kind: str):
+    return lambda x: _fits(kind, x["m"])
+
+
+def _named(kind: str):
+    return lambda x: F.struct(F.lit(kind).alias("k"), x["s"].alias("s"), x["e"].alias("e"))
+
+
 _SPANS = "array<struct<s:int,e:int,m:string>>"
 
 
@@ -121,8 +129,8 @@ def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     docs = docs.withColumn("_body", F.when(body.rlike("[0-9@]"), body).otherwise(F.lit("")))
     none = F.array().cast(_SPANS)
     where = lambda spans: F.when(F.col("_body") == "", none).otherwise(spans)
-    docs = docs.withColumns({f"_{k}": where(F.filter(matches(F.col("_body"), p), lambda x, k=k: _fits(k, x["m"]))) for k, p in BASE} | {"_wide": where(matches(F.col("_body"), CANDIDATE))})
-    named = [F.transform(f"_{k}", lambda x, k=k: F.struct(F.lit(k).alias("k"), x["s"].alias("s"), x["e"].alias("e"))) for k, _ in BASE]
+    docs = docs.withColumns({f"_{k}": where(F.filter(matches(F.col("_body"), p), _fitting(k))) for k, p in BASE} | {"_wide": where(matches(F.col("_body"), CANDIDATE))})
+    named = [F.transform(f"_{k}", _named(k)) for k, _ in BASE]
     return docs.withColumn("_base", F.concat(*named)).drop(*[f"_{k}" for k, _ in BASE])
 
 
