@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import html_extract, ngram_join, quality, url_filter
+from . import html_extract, ngram_join, pii, quality, url_filter
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.query,
     "op2_html_extraction": html_extract.query,
     "op5_quality_rules": quality.query,
+    "op7_pii": pii.query,
     "op6_url_filters": url_filter.query,
 }
 SQL: dict[str, str] = {"op1_ngram_jaccard_join": ngram_join.SQL}
