@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import html_extract, ngram_join, pii, quality, url_filter
+from . import html_extract, ngram_join, packing, pii, quality, token_output, url_filter
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.query,
     "op2_html_extraction": html_extract.query,
+    "op4_best_fit_packing": packing.query,
     "op5_quality_rules": quality.query,
-    "op7_pii": pii.query,
     "op6_url_filters": url_filter.query,
+    "op7_pii": pii.query,
+    "op8_token_output": token_output.query,
 }
 SQL: dict[str, str] = {"op1_ngram_jaccard_join": ngram_join.SQL}
