@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_extract, ngram_join, packing, pii, quality, token_output, url_filter
+from . import bpe, html_extract, lm, ngram_join, packing, pii, quality, token_output, url_filter
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.query,
@@ -12,5 +12,7 @@ QUERIES = {
     "op6_url_filters": url_filter.query,
     "op7_pii": pii.query,
     "op8_token_output": token_output.query,
+    "op9_lm_scoring": lm.query,
+    "op10_byte_bpe": bpe.query,
 }
 SQL: dict[str, str] = {"op1_ngram_jaccard_join": ngram_join.SQL}

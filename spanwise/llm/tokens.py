@@ -10,7 +10,7 @@ import numpy as np
 
 _LOADED: dict[str, object] = {}
 #: Texts with other characters go through the ``tokenizers`` library itself: below, both split text alike whatever their Unicode versions.
-_PLAIN = re.compile("[^\x00-ɏ]")
+_PLAIN = re.compile("[^\\x00-\\u024f]")
 
 
 def default_path(name: str) -> str:
