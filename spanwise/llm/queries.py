@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, html_extract, lm, ngram_join, packing, pii, quality, token_output, url_filter
+from . import ann, bpe, html_extract, lm, ngram_join, packing, pii, quality, token_output, url_filter
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.query,
     "op2_html_extraction": html_extract.query,
+    "op3_nearest_neighbours": ann.query,
     "op4_best_fit_packing": packing.query,
     "op5_quality_rules": quality.query,
     "op6_url_filters": url_filter.query,
