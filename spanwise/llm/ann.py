@@ -99,15 +99,17 @@ class Hashes:
 
 
 def _similarity(rows: DataFrame, queries: DataFrame, n: int, k: int, norm: float) -> float:
-    """The similarity of a k-th neighbour among n, from a bounded sample of pairs."""
-    pick = lambda df, m: df.orderBy(F.xxhash64("id")).limit(m).select("v").toArrow()["v"].combine_chunks()
+    """The similarity that three in four queries' k-th neighbours among n exceed, from a bounded sample of pairs."""
+    pick = lambda df, m: df.orderBy(F.xxhash64("id")).limit(m).toArrow()
     q, x = pick(queries, SAMPLE[0]), pick(rows, SAMPLE[1])
-    if not len(q) or not len(x):
+    if q.num_rows == 0 or x.num_rows < 2:
         return 0.5
-    q, x = (_matrix(pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c) for c in (q, x))
-    s = np.sort(((q / np.linalg.norm(q, axis=1)[:, None]) @ (x / norm).T).ravel())[::-1]
-    s = s[s < 1 - 1e-9]  # a query meets itself
-    return float(np.clip(s[min(len(s) - 1, int(len(s) * min(1.0, k / max(1, n))))], 0.05, 0.99)) if len(s) else 0.5
+    one = lambda t: _matrix(pa.concat_arrays(t["v"].chunks))
+    a, b = one(q), one(x)
+    s = (a / np.linalg.norm(a, axis=1)[:, None]) @ (b / norm).T
+    s[q["id"].to_numpy()[:, None] == x["id"].to_numpy()] = -1
+    place = min(x.num_rows - 2, int(x.num_rows * k / max(1, n)))
+    return float(np.clip(np.percentile(-np.sort(-s, axis=1)[:, place], 25), 0.05, 0.99))
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
