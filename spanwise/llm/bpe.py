@@ -1,10 +1,10 @@
 """Byte-level BPE encoding and decoding.
 
 Texts are cut into words by the tokenizer's pattern, and each distinct word of the table is encoded
-once: a fold over its bytes (as hex pairs) merges, step by step, the adjacent pieces of the lowest
-rank, leftmost first, until no pair has a rank. The fold is a composition of Spark's higher-order
-functions. The rank map is one literal of the plan, an array of small maps addressed by crc32, so that
-a lookup takes constant time. Words over LONG bytes, on which a fold takes quadratic time, are merged
+once, unless it is a token itself: a fold over its bytes merges, step by step, the adjacent pieces of
+the lowest rank, leftmost first, until no pair has a rank. The fold is a composition of Spark's
+higher-order functions over arrays of piece ids. The rank map, from pairs of ids to the id of what
+they form, is one literal of the plan: an array of small maps, so that a lookup takes constant time. Words over LONG bytes, on which a fold takes quadratic time, are merged
 by the tokenizer library instead. Decoding concatenates the ids' binary pieces.
 
 The encoded words reach the texts in one of two ways, with the same result: up to BROADCAST_WORDS
@@ -35,18 +35,52 @@ LONG = 256
 BROADCAST_WORDS = 8_000_000
 #: Distinct words that a task holds before it passes them on, and encoded ones that it keeps.
 HELD = 400_000
-SLOTS = 1 << 16
+#: Slots of the rank map, and what makes one number of two ids (below WIDE); primes, so that the numbers spread.
+SLOTS = 131_071
+WIDE = 1_000_003
 #: Fixed value: Unicode's white space, which is what the library's pattern means by \\s.
 WHITE = "\t-\r " + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
+def _spelled(pattern: str, letters: str | None = None, numbers: str | None = None) -> str:
+    """The pattern with white space, and letters and numbers if given, spelled out as members of classes."""
+    inside = f"{letters or chr(92) + 'p{L}'}{numbers or chr(92) + 'p{N}'}"
+    out = pattern.replace(r"[^\s\p{L}\p{N}]", "\0")
+    if letters and numbers:
+        out = out.replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]")
+    out = out.replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]")
+    return out.replace("\0", f"[^{WHITE}{inside}]")
+
+
+class Splitter:
+    """Cuts texts like the tokenizer library: by ``regex``, and Latin-1 texts by an equal pattern of ``re``, which is faster."""
+
+    def __init__(self, pattern: str):
+        import re
+
+        import regex
+
+        self.general = regex.compile(_spelled(pattern))
+        of = lambda kind: "".join(re.escape(chr(c)) for c in range(256) if regex.match(kind, chr(c)))
+        latin = _spelled(pattern, of(r"\p{L}"), of(r"\p{N}"))
+        self.latin = None if "\\p" in latin else re.compile(latin)
+
+    def findall(self, text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.general.findall(text)
+        return (self.latin or self.general).findall(text)
+
+
 @cache
-def splitter(pattern: str):
-    """The pattern as a compiled expression that splits like the tokenizer library."""
-    import regex
+def splitter(pattern: str) -> Splitter:
+    return Splitter(pattern)
 
-    spelled = pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]")
-    return regex.compile(spelled)
+
+@cache
+def _ranks(path: str) -> dict[bytes, int]:
+    return read_ranks(path)
 
 
 @cache
@@ -61,64 +95,82 @@ def _library(path: str):
     return tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=read_ranks(path), special_tokens={})
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The rank map: an array of SLOTS maps from hex to rank, folded to one literal by the optimizer."""
-    slots: list[dict[str, int]] = [{} for _ in range(SLOTS)]
-    for b, i in ranks.items():
-        h = b.hex()
-        slots[zlib.crc32(h.encode()) % SLOTS][h] = i
-    return F.from_json(F.lit(json.dumps(slots, separators=(",", ":"))), "array<map<string,int>>")
+def merge_literal(ranks: dict[bytes, int]) -> Column:
+    """The rank map, one literal in the end: from two ids to the id, which is the rank, of the piece that they form.
+
+    struct<k, v>: by slot the pairs that fall there, as numbers, and what they form.
+    """
+    keys: list[list[int]] = [[] for _ in range(SLOTS)]
+    values: list[list[int]] = [[] for _ in range(SLOTS)]
+    for whole, i in ranks.items():
+        for k in range(1, len(whole)):
+            a, b = ranks.get(whole[:k]), ranks.get(whole[k:])
+            if a is not None and b is not None:
+                key = a * WIDE + b
+                keys[key % SLOTS].append(key)
+                values[key % SLOTS].append(i)
+    return F.from_json(F.lit(json.dumps({"k": keys, "v": values}, separators=(",", ":"))), "k array<array<bigint>>, v array<array<int>>")
+
+
+def byte_literal(ranks: dict[bytes, int]) -> Column:
+    """The ids of single bytes, by the top byte of their crc32, which differs for all."""
+    out = [0] * 256
+    for b in range(256):
+        out[zlib.crc32(bytes([b])) >> 24] = ranks[bytes([b])]
+    return F.from_json(F.lit(json.dumps(out)), "array<int>")
 
 
 def fold(word: Column, ranks: dict[bytes, int]) -> Column:
-    """array<int>: the word's ids."""
+    """array<int>: the ids of a word of two bytes or more."""
 
-    def encoded(table: Column) -> Column:
-        def rank(h: Column) -> Column:
-            return let(h, lambda x: F.try_element_at(F.get(table, (F.crc32(x.cast("binary")) % SLOTS).cast("int")), x))
+    def encoded(pairs: Column, formed: Column, singles: Column, raw: Column) -> Column:
+        def rank(a: Column, b: Column) -> Column:
+            # The number is written out three times: binding it would cost more than computing it.
+            key = a * F.lit(WIDE).cast("long") + b
+            slot = (key % SLOTS).cast("int")
+            return F.get(F.get(formed, slot), F.array_position(F.get(pairs, slot), key).cast("int") - 1)
 
         def merged(p: Column, r: Column) -> Column:
-            def at(k: Column) -> Column:  # k: from 1, the place of the left piece
-                both = F.array(F.concat(F.element_at(p, k), F.element_at(p, k + 1)))
-                return F.concat(F.slice(p, F.lit(1), k - 1), both, F.slice(p, k + 2, F.size(p)))
-
             best = F.array_min(r)
+            at = lambda k: F.concat(F.slice(p, F.lit(1), k - 1), F.array(best), F.slice(p, k + 2, F.size(p)))
             return F.when(best.isNull(), p).otherwise(let(F.array_position(r, best).cast("int"), at))
 
         def step(p: Column, _: Column) -> Column:
-            pairs = lambda q: F.transform(F.slice(q, F.lit(1), F.size(q) - 1), lambda x, i: rank(F.concat(x, F.get(q, i + 1))))
-            return F.when(F.size(p) < 2, p).otherwise(let(pairs(p), lambda r: merged(p, r)))
-
-        def pieces(h: Column) -> Column:
-            n = F.length(h) / 2
-            start = F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: F.substring(h, i * 2 + 1, F.lit(2)))
-            done = F.aggregate(F.sequence(F.lit(1), n.cast("int") - 1), start, step)
-            return F.when(rank(h).isNotNull(), F.array(rank(h))).when(n < 2, F.transform(start, rank)).otherwise(F.transform(done, rank))
+            ranked = F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda x, i: rank(x, F.get(p, i + 1)))
+            return F.when(F.size(p) < 2, p).otherwise(let(ranked, lambda r: merged(p, r)))
 
-        return let(F.lower(F.hex(word.cast("binary"))), pieces)
+        n = F.octet_length(raw)
+        start = F.transform(F.sequence(F.lit(1), n), lambda i: F.get(singles, F.shiftright(F.crc32(F.substring(raw, i, F.lit(1))), 24).cast("int")))
+        return F.aggregate(F.sequence(F.lit(1), n - 1), start, step)
 
-    return let(rank_literal(ranks), encoded)
+    bound = lambda t: let(t["k"], lambda k: let(t["v"], lambda v: let(byte_literal(ranks), lambda one: let(word.cast("binary"), lambda raw: encoded(k, v, one, raw)))))
+    return let(merge_literal(ranks), bound)
 
 
-def distinct_words(docs: DataFrame, pattern: str) -> DataFrame:
-    """(word): every distinct match of the pattern in the texts of (id, text)."""
+def distinct_words(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(word): every distinct match of the pattern in the texts of (id, text) that isn't a token as it stands."""
 
     def run(batches):
-        split, held = splitter(pattern), set()
+        split, held, ranks = splitter(pattern), set(), _ranks(path)
+
+        def rows():
+            new = [w for w in held if w.encode() not in ranks]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(new, pa.string())], names=["word"])
+
         for batch in batches:
             for text in batch.column(0):
                 held.update(split.findall(text.as_py() or ""))
                 if len(held) > HELD:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string())], names=["word"])
-                    held.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string())], names=["word"])
+                    yield rows()
+        yield rows()
 
     return map_in_arrow(docs.select("text"), run, "word string").distinct()
 
 
 def encoded_words(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(word, ids) of every distinct word."""
-    found = written(distinct_words(docs, pattern), "bpe-distinct")
+    """(word, ids) of every distinct word that isn't a token."""
+    found = written(distinct_words(docs, path, pattern), "bpe-distinct")
     short = found.where(F.octet_length("word") <= LONG).select("word", fold(F.col("word"), read_ranks(path)).alias("ids"))
 
     def run(batches):
@@ -188,21 +240,31 @@ def _by_broadcast(docs: DataFrame, words: DataFrame, path: str, pattern: str) ->
     def run(batches):
         hashes, starts, flat = shared.value
         split, pieces = splitter(pattern), _pieces(path)
-
-        class Known(dict):
-            def __missing__(self, word: str) -> bytes:
-                k = int(np.searchsorted(hashes, np.uint64(word_hash(word))))
-                ids = flat[int(starts[k]) : int(starts[k + 1])].astype("<u4")
+        known: dict[str, bytes] = {}
+        tokens = {}
+        for b, i in _ranks(path).items():
+            try:
+                tokens[b.decode()] = i.to_bytes(4, "little")
+            except UnicodeDecodeError:
+                pass
+
+        def learn(new: list[str]) -> None:
+            found = np.searchsorted(hashes, np.fromiter(map(word_hash, new), np.uint64, len(new)))
+            for word, a, z in zip(new, starts[found].tolist(), starts[found + 1].tolist(), strict=True):
+                ids = flat[a:z]
                 if b"".join(map(pieces.__getitem__, ids.tolist())) != word.encode():
                     raise RuntimeError("two words have one hash")
-                self[word] = got = ids.tobytes()
-                return got
+                known[word] = ids.astype("<u4").tobytes()
 
-        known = Known()
         for batch in batches:
             rows = []
             for text in batch.column(1):
-                rows.append(_result(b"".join(map(known.__getitem__, split.findall(text.as_py() or ""))), pieces))
+                words = split.findall(text.as_py() or "")
+                new = [w for w in set(words) if w not in known]
+                if new:
+                    known.update((w, tokens[w]) for w in new if w in tokens)
+                    learn([w for w in new if w not in tokens])
+                rows.append(_result(b"".join(map(known.__getitem__, words)), pieces))
                 if len(known) > HELD:
                     known.clear()
             yield _batch(batch.column(0), rows)
@@ -210,6 +272,13 @@ def _by_broadcast(docs: DataFrame, words: DataFrame, path: str, pattern: str) ->
     return map_in_arrow(docs, run, _SCHEMA)
 
 
+def _is_text(b: bytes) -> bool:
+    try:
+        return bool(b.decode())
+    except UnicodeDecodeError:
+        return False
+
+
 def _by_shuffle(docs: DataFrame, words: DataFrame, path: str, pattern: str) -> DataFrame:
     def places(batches):
         split = splitter(pattern)
@@ -222,7 +291,8 @@ def _by_shuffle(docs: DataFrame, words: DataFrame, path: str, pattern: str) -> D
             yield _batch(batch.column(0), [_result(np.array(x.as_py() or [], "<u4").tobytes(), pieces) for x in batch.column(1)])
 
     rows = written(map_in_arrow(docs, places, "id long, words array<string>").withColumn("row", F.monotonically_increasing_id()), "bpe-places")
-    each = rows.select("row", F.posexplode("words").alias("k", "word")).join(words, "word")
+    tokens = docs.sparkSession.createDataFrame([(b.decode(), [i]) for b, i in read_ranks(path).items() if _is_text(b)], "word string, ids array<int>")
+    each = rows.select("row", F.posexplode("words").alias("k", "word")).join(words.union(tokens), "word")
     ids = each.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
     return map_in_arrow(rows.select("row", "id").join(ids, "row", "left").select("id", "ids"), finish, _SCHEMA)
 
