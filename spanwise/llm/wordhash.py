@@ -12,7 +12,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 _U = np.uint64
 _RANDOM = np.random.RandomState(20231).randint(0, 1 << 63, size=256, dtype=np.int64).astype(_U) * _U(2) + _U(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -34,7 +34,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, BLOCK + 65536)
+        size = max(n, BLOCK + 4096)
         up, down = np.empty(size, _U), np.empty(size, _U)
         for out, base in ((up, _BASE), (down, _INVERSE)):
             out[0], have, step = 1, 1, base
