@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import map_in_arrow, ship
@@ -35,11 +35,12 @@ WIDTH = 1.3
 TARGET = 0.45
 SEED = 5
 #: Vectors of a block, about, and queries that visit it together.
-BLOCK = 8192
+BLOCK = 16384
 QUERIES = 16384
 #: The sample that sets s: so many queries and vectors.
 SAMPLE = (128, 4096)
 BROADCAST_ROWS = 200_000
+FOUND = pa.list_(pa.struct([("loss", pa.float64()), ("vec_id", pa.int64())]))
 
 
 def valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -171,7 +172,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     wanted = wanted.select("block", F.pmod(F.xxhash64("q"), F.col("crowds")).cast("int").alias("crowd"), "q", "qv", "keys")
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
-        names, out = ["query_id", "vec_id", "score"], ([], [], [])
+        asked_, found_ = pa.array([], pa.int64()), pa.array([], FOUND)
         if left.num_rows and right.num_rows:
             one = lambda t, c: pa.concat_arrays(t[c].chunks)
             ids, key, x = left["id"].to_numpy(), left["key"].to_numpy(), _matrix(one(left, "v"))
@@ -204,14 +205,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
                 keep = (place < k) & np.isfinite(s)
                 r, c = r[keep], c[keep]
                 # The same sum for the same two vectors, whatever the block's shape.
-                out = (q[r], ids[c], (qx[r] * x[c]).sum(1))
-        return pa.Table.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=names)
+                rows, starts = np.unique(r, return_index=True)
+                pairs = pa.StructArray.from_arrays([pa.array(-(qx[r] * x[c]).sum(1)), pa.array(ids[c])], names=["loss", "vec_id"])
+                asked_, found_ = pa.array(q[rows]), pa.ListArray.from_arrays(pa.array(np.append(starts, len(r)).astype(np.int32)), pairs)
+        return pa.Table.from_arrays([asked_, found_], names=["query_id", "found"])
 
     ship(spark)
-    found = data.groupBy("block", "crowd").cogroup(wanted.groupBy("block", "crowd")).applyInArrow(rerank, "query_id long, vec_id long, score double")
-    merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = data.groupBy("block", "crowd").cogroup(wanted.groupBy("block", "crowd")).applyInArrow(rerank, "query_id long, found array<struct<loss:double,vec_id:long>>")
+    # A query has at most k from each block that it visits.
+    merged = found.groupBy("query_id").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k).alias("found"))
+    out = merged.select("query_id", F.posexplode("found").alias("place", "x"))
+    return out.select("query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.loss")).alias("score"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
