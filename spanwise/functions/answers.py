@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..question import label_column, labels_of
+from .text import let
 
 SUM_TOLERANCE = 0.1
 UNIT_TOLERANCE = 1e-6
@@ -44,26 +45,45 @@ def _clamped(x: Column, high: float) -> Column:
 
 def read_answer(question, raw: Column) -> Column:
     """struct<value, label, probs, confidence, problem> of a raw answer; ``problem`` is null where all is well."""
-    kind, labels, top = question["type"], label_column(question), len(labels_of(question)) - 1
-    unit = lambda x: _within(x, -UNIT_TOLERANCE, 1 + UNIT_TOLERANCE)
-    wrong = F.when(~F.coalesce(raw["type"] == kind, F.lit(False)), WRONG_TYPE.format(kind))
+    kind = question["type"]
+    return let(raw, lambda r: _read_noul(r) if kind == "noul" else _read_distribution(question, r))
+
+
+def _unit(x: Column) -> Column:
+    return _within(x, -UNIT_TOLERANCE, 1 + UNIT_TOLERANCE)
+
+
+def _wrong(raw: Column, kind: str) -> Column:
+    return F.when(~F.coalesce(raw["type"] == kind, F.lit(False)), WRONG_TYPE.format(kind))
+
+
+def _fields(value: Column, label: Column, probs: Column, confidence: Column, problem: Column) -> Column:
+    def kept(p: Column) -> Column:
+        values = {"value": value, "label": label, "probs": probs, "confidence": confidence}
+        return F.struct(*[F.when(p.isNull(), v).alias(n) for n, v in values.items()], p.alias("problem"))
+
+    return let(problem, kept)
+
+
+def _read_noul(raw: Column) -> Column:
     none = F.lit(None)
-    if kind == "noul":
-        problem = wrong.when(~unit(raw["noul"]), NOT_UNIT.format("noul"))
-        p = _clamped(raw["noul"], 1)
-        values = (p, none.cast("string"), F.array(1 - p, p), none.cast("double"))
-    else:
-        given = raw["probabilities"]
-        probs = F.transform(labels, lambda k: F.coalesce(F.try_element_at(given, k), F.lit(0.0)))
-        total = F.aggregate(probs, F.lit(0.0), lambda a, p: a + p)
-        bad = F.exists(F.map_values(given), lambda p: ~_within(p, 0.0, 1 + UNIT_TOLERANCE))
-        confidence = raw["confidence"]
+    p = _clamped(raw["noul"], 1)
+    problem = _wrong(raw, "noul").when(~_unit(raw["noul"]), NOT_UNIT.format("noul"))
+    return _fields(p, none.cast("string"), F.array(1 - p, p), none.cast("double"), problem)
+
+
+def _read_distribution(question, raw: Column) -> Column:
+    kind, labels, top, none = question["type"], label_column(question), len(labels_of(question)) - 1, F.lit(None)
+    given, confidence = raw["probabilities"], raw["confidence"]
+
+    def read(probs: Column, total: Column) -> Column:
         problem = (
-            wrong.when(given.isNull(), NO_PROBABILITIES)
+            _wrong(raw, kind)
+            .when(given.isNull(), NO_PROBABILITIES)
             .when(F.size(F.array_except(F.map_keys(given), labels)) > 0, UNKNOWN_OPTION)
-            .when(bad, NOT_A_PROBABILITY)
+            .when(F.exists(F.map_values(given), lambda p: ~_within(p, 0.0, 1 + UNIT_TOLERANCE)), NOT_A_PROBABILITY)
             .when(~(F.abs(total - 1) <= SUM_TOLERANCE), BAD_SUM)
-            .when(confidence.isNotNull() & ~unit(confidence), NOT_UNIT.format("confidence"))
+            .when(confidence.isNotNull() & ~_unit(confidence), NOT_UNIT.format("confidence"))
         )
         if kind == "choice":
             problem = problem.when(~F.coalesce(F.array_contains(labels, raw["choice"]), F.lit(False)), NOT_AN_OPTION)
@@ -71,10 +91,10 @@ def read_answer(question, raw: Column) -> Column:
         else:
             problem = problem.when(~_within(raw["score"], -UNIT_TOLERANCE, top + UNIT_TOLERANCE), OUTSIDE)
             value, label = _clamped(raw["score"], top), none.cast("string")
-        values = (value, label, F.transform(probs, lambda p: p / total), F.when(confidence.isNotNull(), _clamped(confidence, 1)))
-    ok = problem.isNull()
-    names = ("value", "label", "probs", "confidence")
-    return F.struct(*[F.when(ok, v).alias(n) for n, v in zip(names, values, strict=True)], problem.alias("problem"))
+        return _fields(value, label, F.transform(probs, lambda p: p / total), F.when(confidence.isNotNull(), _clamped(confidence, 1)), problem)
+
+    listed = F.transform(labels, lambda k: F.coalesce(F.try_element_at(given, k), F.lit(0.0)))
+    return let(listed, lambda probs: let(F.aggregate(probs, F.lit(0.0), lambda a, p: a + p), lambda total: read(probs, total)))
 
 
 def _number(x) -> bool:

@@ -23,6 +23,11 @@ SENTENCE_PYTHON = rf"[\s\S]*?(?:{BREAK})|[\s\S]+\Z"
 ATOM = f"[^{WORD_SPACE}]*[{WORD_SPACE}]+|[^{WORD_SPACE}]+"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)``, with ``value`` computed once however often ``body`` uses it, lambdas included."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def token_count(text: str) -> int:
     return math.ceil(len(text.encode("utf-8", "surrogatepass")) / BYTES_PER_TOKEN)
 

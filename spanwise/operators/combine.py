@@ -10,14 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..question import label_column, labels_of
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)``, with ``value`` computed once even where lambdas use it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def weighted(chunks: Column, value) -> Column:
     """The sum of weight * value(chunk), in chunk order."""
     return F.aggregate(chunks, F.lit(0.0), lambda a, c: a + c["weight"] * value(c))

@@ -18,13 +18,13 @@ from pyspark.sql import types as T
 
 from ..errors import DecideError, invalid
 from ..functions.answers import malformed, read_answer
-from ..functions.text import estimate_tokens, nonblank, size_gate, token_count
+from ..functions.text import estimate_tokens, let, nonblank, size_gate, token_count
 from ..plans.chunks import SPAN_TYPE, chunk_text, plan_chunks
 from ..question import MIN_CHUNK_TOKENS, chunk_tokens, is_blank, validate_question
 from ..shipping import map_in_arrow, ship
 from ..sources.http import HttpTransport
 from .ask import TIMEOUT_S, Run
-from .combine import agreement, combine, let, public
+from .combine import agreement, combine, public
 
 MAX_INPUT_TOKENS = 250_000
 API_KEY = "SPANWISE_API_KEY"
