@@ -130,18 +130,29 @@ def fold(word: Column, ranks: dict[bytes, int]) -> Column:
             slot = (key % SLOTS).cast("int")
             return F.get(F.get(formed, slot), F.array_position(F.get(pairs, slot), key).cast("int") - 1)
 
-        def merged(p: Column, r: Column) -> Column:
-            best = F.array_min(r)
-            at = lambda k: F.concat(F.slice(p, F.lit(1), k - 1), F.array(best), F.slice(p, k + 2, F.size(p)))
-            return F.when(best.isNull(), p).otherwise(let(F.array_position(r, best).cast("int"), at))
-
-        def step(p: Column, _: Column) -> Column:
-            ranked = F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda x, i: rank(x, F.get(p, i + 1)))
-            return F.when(F.size(p) < 2, p).otherwise(let(ranked, lambda r: merged(p, r)))
+        # The state: pieces p and the ranks r of neighbouring pairs, of which a merge changes two.
+        def state(p: Column, r: Column) -> Column:
+            return F.struct(p.alias("p"), r.alias("r"))
+
+        def merged(p: Column, r: Column, best: Column, k: Column) -> Column:
+            """k: from 1, the place of the left piece."""
+            none, many = F.array().cast("array<int>"), F.size(r)
+            left = F.when(k > 1, F.array(rank(F.get(p, k - 2), best))).otherwise(none)
+            right = F.when(k < many, F.array(rank(best, F.get(p, k + 1)))).otherwise(none)
+            pieces = F.concat(F.slice(p, F.lit(1), k - 1), F.array(best), F.slice(p, k + 2, many))
+            return state(pieces, F.concat(F.slice(r, F.lit(1), F.greatest(k - 2, F.lit(0))), left, right, F.slice(r, k + 2, many)))
+
+        def step(a: Column, _: Column) -> Column:
+            at = lambda best: let(F.array_position(a["r"], best).cast("int"), lambda k: merged(a["p"], a["r"], best, k))
+            return let(F.array_min(a["r"]), lambda best: F.when(best.isNull(), a).otherwise(at(best)))
+
+        def whole(start: Column) -> Column:
+            ranks_ = F.transform(F.slice(start, F.lit(1), n - 1), lambda x, i: rank(x, F.get(start, i + 1)))
+            return F.aggregate(F.sequence(F.lit(1), n - 1), state(start, ranks_), step, lambda a: a["p"])
 
         n = F.octet_length(raw)
         start = F.transform(F.sequence(F.lit(1), n), lambda i: F.get(singles, F.shiftright(F.crc32(F.substring(raw, i, F.lit(1))), 24).cast("int")))
-        return F.aggregate(F.sequence(F.lit(1), n - 1), start, step)
+        return let(start, whole)
 
     bound = lambda t: let(t["k"], lambda k: let(t["v"], lambda v: let(byte_literal(ranks), lambda one: let(word.cast("binary"), lambda raw: encoded(k, v, one, raw)))))
     return let(merge_literal(ranks), bound)
@@ -240,33 +251,33 @@ def _by_broadcast(docs: DataFrame, words: DataFrame, path: str, pattern: str) ->
     def run(batches):
         hashes, starts, flat = shared.value
         split, pieces = splitter(pattern), _pieces(path)
-        known: dict[str, bytes] = {}
-        tokens = {}
-        for b, i in _ranks(path).items():
-            try:
-                tokens[b.decode()] = i.to_bytes(4, "little")
-            except UnicodeDecodeError:
-                pass
+        ids_of: dict[str, bytes] = {}
+        decoded: dict[str, bytes] = {}  # what each word's ids decode to, piece by piece
+        tokens = {b.decode(): i for b, i in _ranks(path).items() if _is_text(b)}
 
         def learn(new: list[str]) -> None:
             found = np.searchsorted(hashes, np.fromiter(map(word_hash, new), np.uint64, len(new)))
             for word, a, z in zip(new, starts[found].tolist(), starts[found + 1].tolist(), strict=True):
                 ids = flat[a:z]
-                if b"".join(map(pieces.__getitem__, ids.tolist())) != word.encode():
+                back = b"".join(map(pieces.__getitem__, ids.tolist()))
+                if back != word.encode():
                     raise RuntimeError("two words have one hash")
-                known[word] = ids.astype("<u4").tobytes()
+                ids_of[word], decoded[word] = ids.astype("<u4").tobytes(), back
 
         for batch in batches:
             rows = []
             for text in batch.column(1):
                 words = split.findall(text.as_py() or "")
-                new = [w for w in set(words) if w not in known]
+                new = set(words).difference(ids_of)
                 if new:
-                    known.update((w, tokens[w]) for w in new if w in tokens)
-                    learn([w for w in new if w not in tokens])
-                rows.append(_result(b"".join(map(known.__getitem__, words)), pieces))
-                if len(known) > HELD:
-                    known.clear()
+                    for w in new.intersection(tokens):
+                        ids_of[w], decoded[w] = tokens[w].to_bytes(4, "little"), pieces[tokens[w]]
+                    learn(list(new.difference(tokens)))
+                ids = b"".join(map(ids_of.__getitem__, words))
+                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(b"".join(map(decoded.__getitem__, words))).hexdigest()))
+                if len(ids_of) > 2 * HELD:
+                    ids_of.clear()
+                    decoded.clear()
             yield _batch(batch.column(0), rows)
 
     return map_in_arrow(docs, run, _SCHEMA)
