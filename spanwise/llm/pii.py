@@ -280,8 +280,10 @@ def _masked(text: Column, spans: Column) -> Column:
 
 
 def mask(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with private spans masked in ``text``; other columns as they are."""
-    return find(docs, text).withColumn(text, masked(F.col(text), F.col("spans"))).select(*docs.columns)
+    """``docs`` with private spans masked in ``text``; other columns as they are, whatever their names."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("text"))
+    rows = find(packed).select(F.col("_row").withField(text, masked(F.col("text"), F.col("spans"))).alias("_row"))
+    return rows.select("_row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

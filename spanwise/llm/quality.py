@@ -142,6 +142,12 @@ def judge(docs: DataFrame, text: str = "text", min_group: int = MIN_GROUP, sprea
     return decide(rows, written(thresholds(cheap, min_group, spreads), "quality-bounds"))
 
 
+def keep(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """The rows that stay, all their columns as they were, whatever their names."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
+    return judge(packed).where("kept").select("_row.*")
+
+
 def judge_measures(docs: DataFrame, keep: tuple[str, ...], text: str = "text", min_group: int = MIN_GROUP, spreads: float = SPREADS) -> DataFrame:
     """As ``judge``, without the text: columns ``keep`` and the measures. Reads the texts once."""
     rows = written(measured(docs, text).select(*dict.fromkeys((*keep, "lang", "source", *ADDED[:7], *MEASURES))), "quality-measures")
