@@ -268,11 +268,15 @@ def _by_broadcast(docs: DataFrame, words: DataFrame, path: str, pattern: str) ->
             rows = []
             for text in batch.column(1):
                 words = split.findall(text.as_py() or "")
-                new = set(words).difference(ids_of)
-                if new:
-                    for w in new.intersection(tokens):
-                        ids_of[w], decoded[w] = tokens[w].to_bytes(4, "little"), pieces[tokens[w]]
-                    learn(list(new.difference(tokens)))
+                unseen = []
+                for w in set(words):
+                    if w not in ids_of:
+                        if w in tokens:
+                            ids_of[w], decoded[w] = tokens[w].to_bytes(4, "little"), pieces[tokens[w]]
+                        else:
+                            unseen.append(w)
+                if unseen:
+                    learn(unseen)
                 ids = b"".join(map(ids_of.__getitem__, words))
                 rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(b"".join(map(decoded.__getitem__, words))).hexdigest()))
                 if len(ids_of) > 2 * HELD:
