@@ -220,10 +220,26 @@ def _packed(words: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h[order], starts.astype(np.uint32 if starts[-1] < 1 << 32 else np.uint64), flat[source].astype(np.uint16 if len(flat) == 0 or flat.max() < 1 << 16 else np.uint32)
 
 
-def _result(ids: bytes, pieces: dict[int, bytes]) -> tuple[int, str, str]:
+@cache
+def _laid_out(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(all pieces' bytes, each id's start there, each id's length)."""
+    pieces = _pieces(path)
+    lengths = np.array([len(pieces.get(i, b"")) for i in range(max(pieces) + 1)], np.int64)
+    return np.frombuffer(b"".join(pieces.get(i, b"") for i in range(len(lengths))), np.uint8), np.cumsum(lengths) - lengths, lengths
+
+
+def decode(ids: bytes, path: str) -> bytes:
+    """The concatenated pieces of 32-bit ids."""
+    data, start, length = _laid_out(path)
+    k = np.frombuffer(ids, "<u4")
+    n = length[k]
+    ends = np.cumsum(n)
+    return data[np.repeat(start[k] - (ends - n), n) + np.arange(ends[-1] if len(k) else 0)].tobytes()
+
+
+def _result(ids: bytes, path: str) -> tuple[int, str, str]:
     """(number of ids, sha256 of the ids, sha256 of what they decode to)."""
-    decoded = b"".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-    return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
+    return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decode(ids, path)).hexdigest()
 
 
 _SCHEMA = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -252,36 +268,28 @@ def _by_broadcast(docs: DataFrame, words: DataFrame, path: str, pattern: str) ->
         hashes, starts, flat = shared.value
         split, pieces = splitter(pattern), _pieces(path)
         ids_of: dict[str, bytes] = {}
-        decoded: dict[str, bytes] = {}  # what each word's ids decode to, piece by piece
-        tokens = {b.decode(): i for b, i in _ranks(path).items() if _is_text(b)}
+        tokens = {b.decode(): i.to_bytes(4, "little") for b, i in _ranks(path).items() if _is_text(b)}
 
         def learn(new: list[str]) -> None:
             found = np.searchsorted(hashes, np.fromiter(map(word_hash, new), np.uint64, len(new)))
             for word, a, z in zip(new, starts[found].tolist(), starts[found + 1].tolist(), strict=True):
                 ids = flat[a:z]
-                back = b"".join(map(pieces.__getitem__, ids.tolist()))
-                if back != word.encode():
+                if b"".join(map(pieces.__getitem__, ids.tolist())) != word.encode():
                     raise RuntimeError("two words have one hash")
-                ids_of[word], decoded[word] = ids.astype("<u4").tobytes(), back
+                ids_of[word] = ids.astype("<u4").tobytes()
 
         for batch in batches:
             rows = []
             for text in batch.column(1):
                 words = split.findall(text.as_py() or "")
-                unseen = []
-                for w in set(words):
-                    if w not in ids_of:
-                        if w in tokens:
-                            ids_of[w], decoded[w] = tokens[w].to_bytes(4, "little"), pieces[tokens[w]]
-                        else:
-                            unseen.append(w)
+                unseen = set(words).difference(ids_of)
                 if unseen:
-                    learn(unseen)
+                    ids_of.update((w, tokens[w]) for w in unseen if w in tokens)
+                    learn([w for w in unseen if w not in tokens])
                 ids = b"".join(map(ids_of.__getitem__, words))
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(b"".join(map(decoded.__getitem__, words))).hexdigest()))
+                rows.append(_result(ids, path))
                 if len(ids_of) > 2 * HELD:
                     ids_of.clear()
-                    decoded.clear()
             yield _batch(batch.column(0), rows)
 
     return map_in_arrow(docs, run, _SCHEMA)
@@ -301,9 +309,8 @@ def _by_shuffle(docs: DataFrame, words: DataFrame, path: str, pattern: str) -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([split.findall(t.as_py() or "") for t in batch.column(1)], pa.list_(pa.string()))], names=["id", "words"])
 
     def finish(batches):
-        pieces = _pieces(path)
         for batch in batches:
-            yield _batch(batch.column(0), [_result(np.array(x.as_py() or [], "<u4").tobytes(), pieces) for x in batch.column(1)])
+            yield _batch(batch.column(0), [_result(np.array(x.as_py() or [], "<u4").tobytes(), path) for x in batch.column(1)])
 
     rows = written(map_in_arrow(docs, places, "id long, words array<string>").withColumn("row", F.monotonically_increasing_id()), "bpe-places")
     tokens = docs.sparkSession.createDataFrame([(b.decode(), [i]) for b, i in read_ranks(path).items() if _is_text(b)], "word string, ids array<int>")
