@@ -120,6 +120,8 @@ def decide(
     if on_error == "fail":
         said = F.concat_ws(": ", F.col("_error.code"), F.col("_error.message"))
         out = F.when(F.col("_error").isNotNull(), F.raise_error(said)).otherwise(out)
+    # A filter on the result must not be pushed below it, where the answers would be computed once more for each mention.
+    out = F.when(F.rand(0) >= 0, out)
     return rows.withColumn("result", out).drop("_error", "_chunks", "_answer", "_agreement", "_model", "_usage")
 
 

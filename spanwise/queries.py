@@ -400,7 +400,7 @@ S_ANYWHERE = _s_decide("round(max(p), 6)", "max(p)")
 
 def q_single_chunk(spark, d):
     rows = decide(_docs(spark, d), TOPIC, transport=keyword(TOPIC), max_chunk_tokens=BUDGET)
-    return _decided(rows.where(F.size("result.chunks") == 1), TOPIC)
+    return _decided(rows, TOPIC).where("chunks = 1")
 
 
 def q_decide_corpus(spark, d):
