@@ -339,6 +339,19 @@ def test_model_is_normalised_and_learns():
     assert p.sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_all_contexts_train_a_growing_vocabulary(spark):
+    """3,000 words of 100 occurrences each, every second one following from the one before."""
+    rng = np.random.RandomState(4)
+    rows = [(i, " ".join(f"a{k} b{k}" for k in rng.permutation(1500))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(4, "id")
+    learns = sum(bool(zlib.crc32(str(i).encode()) % 10) for i in range(120))
+    model, _ = lm.fit(docs)
+    assert learns >= lm.MIN_COUNT and len(model.hashes) == 3001
+    assert model.total == 3001 * learns and model.trained == lm.ROUNDS * model.total
+    got = lm.score(docs.withColumnRenamed("id", "doc_id")).where("held_out").select(F.avg(F.col("score") - F.col("base_score"))).first()[0]
+    assert got > 300  # log10: a gain beyond the frequencies on words of every rank
+
+
 def test_bpe(spark, docs, empty):
     import public_tokenizers
     import tiktoken
