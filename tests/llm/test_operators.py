@@ -101,6 +101,14 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(61)) and got[101] == got[100] == 100 and None not in got
 
 
+def test_components_of_long_chains(spark):
+    """Ids that rise along a chain, and one in any order."""
+    order = random.Random(5).sample(range(10_000, 13_000), 3000)
+    edges = [(i, i + 1) for i in range(3000)] + list(zip(order, order[1:]))
+    got = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert all(got[i] == 0 for i in range(3001)) and {got[i] for i in order} == {10_000} and len(got) == 6001
+
+
 def test_html():
     page = """<html><head><title>T</title><style>p{}</style></head><body><header>Site</header><nav><ul><li><a href=x>Menu</a></ul></nav>
     <div class="ad">Buy</div><article><h1>A &amp; B</h1><p>First&nbsp; line<br>goes
