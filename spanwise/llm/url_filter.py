@@ -2,7 +2,8 @@
 
 DataFrame functions only. A page's address is reduced to a key (scheme, fragment, one trailing slash
 and a default port go; the host is lower-cased). Edges join the page's key with the targets its html
-names: ``<link rel=canonical>`` and ``<meta http-equiv=refresh>``. Components over these keys are the
+names: ``<link rel=canonical>`` and ``<meta http-equiv=refresh>``, relative ones resolved against the
+page's address or its ``<base href>``. Components over these keys are the
 alias sets. An address decided by a rule keeps that verdict. Any other one is blocked if an alias of
 it is blocked by a rule, unless an alias is allowed by a rule: allow takes precedence. All else is
 allowed. Rule matching is one join of at most 127 host suffixes with a literal rule list.
@@ -60,6 +61,34 @@ def link_targets(html: Column) -> Column:
     return F.when(html.rlike(r"(?i)canonical|refresh"), F.transform(F.concat(link, meta), lambda t: F.replace(t, F.lit("&amp;"), F.lit("&"))))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path with its ``.`` and ``..`` segments carried out."""
+    parts = F.split(F.regexp_replace(path, "^/", ""), "/", -1)
+    kept = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda a, x: F.when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).when(x == ".", a).otherwise(F.concat(a, F.array(x))),
+    )
+    end = F.when(path.rlike(r"/\.\.?$") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit(""))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), end)
+
+
+def resolved(url: Column, target: Column) -> Column:
+    """The address that a reference on the page ``url`` names; null for other schemes (mailto:) and empty references."""
+    origin = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*", 0)
+    path = path_of(url)
+    own, rest = F.regexp_extract(target, r"(?s)^[^?#]*", 0), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, "(?s)^.*/", 0))
+    return (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (target == "") | target.startswith("#"), F.lit(None))
+        .when(target.startswith("//"), F.concat(F.regexp_extract(url, "(?s)^(.*?:)//", 1), target))
+        .when(target.startswith("/"), F.concat(origin, _without_dots(own), rest))
+        .when(target.startswith("?"), F.concat(origin, path, target))
+        .otherwise(F.concat(origin, _without_dots(F.concat(folder, own)), rest))
+    )
+
+
 def judge(pages: DataFrame, url: str = "url", html: str | None = "html", redirects: DataFrame | None = None, rules=RULES) -> DataFrame:
     """Every page with host, path, rule and verdict. ``redirects``: more edges (source, target), both addresses."""
     rows = pages.drop("host", "path", "rule", "verdict")
@@ -68,10 +97,12 @@ def judge(pages: DataFrame, url: str = "url", html: str | None = "html", redirec
     rows = rows.withColumns({"rule": fits, "_by_rule": verdict})
     edges = []
     if html is not None:
-        named = rows.select(F.col("_key").alias("a"), F.explode(link_targets(F.col(html))).alias("t"))
-        # A relative target stays on the page's host.
-        there = F.when(F.col("t").contains("://"), F.col("t")).when(F.col("t").startswith("/"), F.concat(F.lit("x://"), F.regexp_extract("a", r"^[^/?]*", 0), F.col("t")))
-        edges.append(named.where("a is not null").select("a", alias_key(there).alias("b"), F.col("a").alias("_a"), there.alias("_there")))
+        linking = rows.where("_key is not null").where(F.col(html).rlike(r"(?i)canonical|refresh"))
+        told = F.regexp_extract(html, r"""(?is)<base\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
+        base = F.coalesce(resolved(F.col(url), told), F.col(url))
+        named = linking.select(F.col("_key").alias("a"), base.alias("base"), F.explode(link_targets(F.col(html))).alias("t"))
+        there = resolved(F.col("base"), F.col("t"))
+        edges.append(named.select("a", alias_key(there).alias("b"), F.col("a").alias("_a"), there.alias("_there")))
     if redirects is not None:
         edges.append(redirects.select(alias_key(F.col("source")).alias("a"), alias_key(F.col("target")).alias("b"), F.col("source").alias("_a"), F.col("target").alias("_there")))
     keyed = rows.where("_key is not null").select("_key", "_by_rule")

@@ -258,6 +258,41 @@ def test_urls(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_url_references(spark):
+    page = "http://h.com/a/b/page.html?q"
+    forms = {
+        "https://x.com/p": "https://x.com/p",
+        "HTTP://x.com/p": "HTTP://x.com/p",
+        "other.html": "http://h.com/a/b/other.html",
+        "../x": "http://h.com/a/x",
+        "../../../x?y": "http://h.com/x?y",
+        "./c/./d/..": "http://h.com/a/b/c/",
+        "?id=1": "http://h.com/a/b/page.html?id=1",
+        "//bad.net/x": "http://bad.net/x",
+        "/go?u=https://bad.net/": "http://h.com/go?u=https://bad.net/",
+        "s?u=https://bad.net/": "http://h.com/a/b/s?u=https://bad.net/",
+        "mailto:a@b.c": None,
+        "#top": None,
+        "": None,
+    }
+    table = spark.createDataFrame([(page, t) for t in forms] + [("http://h.com", "x")], "u string, t string")
+    got = [tuple(r) for r in table.select("t", url_filter.resolved(F.col("u"), F.col("t"))).collect()]
+    assert got == [*forms.items(), ("x", "http://h.com/x")]
+    link = '<link rel="canonical" href="{}">'.format
+    rows = [
+        (1, "http://a.com/d/1", link("//bad.net/x")),
+        (2, "http://b.com/d/2", link("/go?u=https://bad.net/")),
+        (3, "http://c.com/d/e/3", link("../bad")),
+        (4, "http://c.com/d/bad", link("https://bad.net/y")),
+        (5, "http://d.com/5", '<base href="http://bad.net/z/">' + link("w")),
+        (6, "http://e.com/6", link("mailto:x@bad.net")),
+        (7, "http://f.com/7?a", link("?b")),
+        (8, "http://f.com/7?b", '<meta http-equiv=refresh content="0; url=//bad.net/">'),
+    ]
+    verdicts = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i for i, v in verdicts.items() if v == "block"} == {1, 3, 4, 5, 7, 8}
+
+
 def plain_pii(t):
     def luhn(x):
         return sum(int(c) if i % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for i, c in enumerate(reversed(x))) % 10 == 0
