@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -28,23 +28,27 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     )
     nodes = live.select(F.col("a").alias("node")).union(live.select(F.col("b").alias("node"))).distinct()
     labels = written(nodes.select("node", F.col("node").alias("component")), "cc-labels")
-    live = live.where("a < b")
+    kept, live = live, live.where("a < b")
     while not live.isEmpty():
         both = live.union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.groupBy(F.col("a").alias("l")).agg(F.min("b").alias("m"))
         # Each label points to the least label around it (itself included); pointers never rise.
-        parent = written(near.select("l", F.least("l", "m").alias("p")), "cc-parent")
+        last = parent = written(near.select("l", F.least("l", "m").alias("p")), "cc-parent")
         moving = True
         while moving:
             hop = parent.select(F.col("l").alias("p"), F.col("p").alias("q"))
             jumped = written(parent.join(hop, "p").select("l", F.col("q").alias("p"), (F.col("q") < F.col("p")).alias("moved")), "cc-jump")
             moving = not jumped.where("moved").isEmpty()
-            parent = jumped.drop("moved")
+            discard(last)
+            last, parent = jumped, jumped.drop("moved")
         onto = parent.select(F.col("l").alias("component"), "p")
-        labels = written(labels.join(onto, "component", "left").select("node", F.coalesce("p", "component").alias("component")), "cc-labels")
+        before, labels = labels, written(labels.join(onto, "component", "left").select("node", F.coalesce("p", "component").alias("component")), "cc-labels")
         pa, pb = parent.select(F.col("l").alias("a"), F.col("p").alias("pa")), parent.select(F.col("l").alias("b"), F.col("p").alias("pb"))
         moved = live.join(pa, "a").join(pb, "b")
         live = written(
             moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).where("a < b").distinct(), "cc-edges"
         )
+        discard(before, last, kept)
+        kept = live
+    discard(kept)
     return labels
