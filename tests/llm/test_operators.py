@@ -375,7 +375,7 @@ def test_model_is_normalised_and_learns():
         return -model.log_probabilities(grams[:, 0].astype(np.int32), [grams[:, k] for k in (1, 2, 3)]).mean()
 
     before = loss()
-    model.train(grams)
+    model.train(known, np.array([0, len(known)]), 0, epochs=4, batch=512)
     assert loss() < before - 0.3
     n = len(hashes) + 1
     p = np.exp(model.log_probabilities(np.arange(n, dtype=np.int32), [np.full(n, 3)] * 3))
@@ -421,3 +421,16 @@ def test_pipeline(spark, tmp_path, docs):
     kept = [r for r in docs.collect() if not (plain_quality(r.text)[0] < 20 or 100 * plain_quality(r.text)[4] > 30 * plain_quality(r.text)[0])]
     groups = brute_groups([(r.doc_id, r.text) for r in kept], 5, 80)
     assert {r.doc_id for r in rows} == {i for i, (_, p) in groups.items() if i == p}
+
+
+def test_scores_do_not_depend_on_the_layout(spark):
+    """The same rows, dealt and ordered otherwise, give the same scores, better than those of counts on held-out texts."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"a{k} b{k}" for k in (rng.randint(0, 40) for _ in range(60)))) for i in range(300)]
+    one = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    two = spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(5, "text")
+    first = {r.doc_id: r for r in lm.score(one).collect()}
+    for r in lm.score(two).collect():
+        assert r.score == pytest.approx(first[r.doc_id].score, rel=1e-6) and r.base_score == pytest.approx(first[r.doc_id].base_score, rel=1e-12)
+    held = [r for r in first.values() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held) + 0.5 * sum(r.n_tokens for r in held)
