@@ -6,17 +6,20 @@ numbers, floor((a x + b) / WIDTH), a having normal components (2-stable). A quer
 similarity s projects to about s times the query's projection with variance 1 - s², which gives the
 probability of each slot, and of a bucket the product. Buckets are visited in order of this estimated
 success until its sum reaches TARGET; s is taken from a bounded sample of pairs, as the similarity
-that a k-th neighbour has.
+that a k-th neighbour has. A query whose own k-th find lies lower is asked again with that similarity;
+one that still has fewer than k finds is compared with all vectors, in blocks.
 
 Buckets are dealt to blocks by hash; a bucket of more than BLOCK vectors is split over several, all of
 which its queries visit, and a block that more than QUERIES queries visit is repeated for parts of
 them: no group grows with the table. A block scores each bucket's vectors against the bucket's
 queries, exactly, in double precision, and passes on the best k for each query. Tables are merged by
 query and vector, and the best k stay; ties go to the smaller id. All probed candidates are scored.
+Matrix products only choose, with room for their rounding; scores are sums in one fixed order, compared
+as they are.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, or have another
 length than most, take no part; a row with null id neither; repeated rows (one id) count once for a
-query; with fewer than k candidates probed, a query gets those; an empty table gives no rows.
+query; with k or fewer candidates, a query gets them all; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -58,11 +61,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 class Hashes:
-    def __init__(self, size: int, norm: float, similarity: float, tables: int = TABLES, target: float = TARGET, seed: int = SEED):
+    def __init__(self, size: int, norm: float, tables: int = TABLES, target: float = TARGET, seed: int = SEED):
         rng = np.random.RandomState(seed)
         self.a = rng.randn(size + 1, tables * SLOTS)
         self.b = rng.rand(tables * SLOTS) * WIDTH
-        self.norm, self.similarity, self.tables, self.target = norm, similarity, tables, target
+        self.norm, self.tables, self.target = norm, tables, target
 
     def keys(self, x: np.ndarray) -> np.ndarray:
         """The bucket of every vector in every table."""
@@ -78,13 +81,13 @@ class Hashes:
             key = key * 4096 + (np.clip(slots[..., i], -2047, 2047) + 2048)
         return key
 
-    def probes(self, q: np.ndarray) -> list[np.ndarray]:
-        """Of a query: the buckets to visit in each table, best first."""
+    def probes(self, q: np.ndarray, similarity: float) -> list[np.ndarray]:
+        """Of a query whose k-th neighbour has this similarity: the buckets to visit in each table, best first."""
         from math import erf
 
         q = q / np.sqrt((q * q).sum())
-        at = (q @ self.a[:-1]) * self.similarity
-        spread = max(1e-3, np.sqrt(1 - self.similarity**2))
+        at = (q @ self.a[:-1]) * similarity
+        spread = max(1e-3, np.sqrt(1 - similarity**2))
         out = []
         for t in range(self.tables):
             slots, chances = np.zeros((1, 0), np.int64), np.ones(1)
@@ -113,18 +116,12 @@ def _similarity(rows: DataFrame, queries: DataFrame, n: int, k: int, norm: float
     return float(np.clip(np.percentile(-np.sort(-s, axis=1)[:, place], 25), 0.05, 0.99))
 
 
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of each row's k largest, ties to smaller ids; scores are compared to 12 decimals."""
-    s = np.round(scores, 12)
-    if s.shape[1] > k:
-        least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-        r, c = np.nonzero(s >= least[:, None])
-    else:
-        r, c = (x.ravel() for x in np.indices(s.shape))
-    order = np.lexsort((ids[c], -s[r, c], r))
-    r, c = r[order], c[order]
-    place = np.arange(len(r)) - np.searchsorted(r, r)
-    return r[place < k], c[place < k]
+def likely(scores: np.ndarray, room: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of all that may be among each row's k largest if scores are off by at most ``room``, of each row."""
+    if scores.shape[1] > k:
+        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+        return np.nonzero(scores >= (least - 2 * room)[:, None])
+    return np.nonzero(scores > -np.inf)
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, target: float = TARGET) -> DataFrame:
@@ -134,7 +131,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     asked = valid(queries, id_col, vector_col).dropDuplicates(["id"])
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     n, norm, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.sqrt(square)), F.lit(1.0)), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
-    hashes = Hashes(size, norm, _similarity(rows, asked, n, k, norm), tables, target)
+    similarity = _similarity(rows, asked, n, k, norm)
+    hashes = Hashes(size, norm, tables, target)
     element = rows.schema["v"].dataType.simpleString()
 
     def index(batches):
@@ -147,8 +145,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
         for batch in batches:
             ids, out = batch.column(0).to_numpy(), [np.zeros(0, np.int64)]
             lengths = []
-            for q in _matrix(batch.column(1)) if batch.num_rows else ():
-                found = np.concatenate(hashes.probes(q))
+            for q, s in zip(_matrix(batch.column(1)), batch.column(2).to_pylist(), strict=True) if batch.num_rows else ():
+                found = np.concatenate(hashes.probes(q, s))
                 out.append(found)
                 lengths.append(len(found))
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, lengths)), pa.array(np.concatenate(out))], names=["q", "key"])
@@ -158,18 +156,28 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     counts = written(counts, "ann-buckets")
     blocks = max(1, -(-n * tables // BLOCK))
     block = lambda part: F.pmod(F.xxhash64("key", part), F.lit(blocks)).cast("int")
-    probes = map_in_arrow(asked, visit, "q long, key long").join(counts, "key")
-    probes = probes.select("q", "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    probes = written(probes.select(block(F.col("part")).alias("block"), "q", "key").groupBy("block", "q").agg(F.collect_set("key").alias("keys")), "ann-probes")
-    crowds = probes.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("crowds"))
-    crowds = written(crowds, "ann-blocks")
     small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-    split = counts.where("parts > 1")
-    data = indexed.join(small(split), "key", "left").withColumn("block", block(F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")))
-    crowds = small(crowds)
-    data = data.join(crowds, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("crowds") - 1)).alias("crowd"), "id", "v", "key")
-    wanted = probes.join(crowds, "block").join(asked.select(F.col("id").alias("q"), F.col("v").alias("qv")), "q")
-    wanted = wanted.select("block", F.pmod(F.xxhash64("q"), F.col("crowds")).cast("int").alias("crowd"), "q", "qv", "keys")
+
+    def in_crowds(data: DataFrame, wanted: DataFrame) -> DataFrame:
+        """What rerank finds for ``data`` (block, id, v, key) and ``wanted`` (block, q, keys), a block's queries in crowds."""
+        crowds = small(written(wanted.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("crowds")), "ann-blocks"))
+        left = data.join(crowds, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("crowds") - 1)).alias("crowd"), "id", "v", "key")
+        right = wanted.join(crowds, "block").join(asked.select(F.col("id").alias("q"), F.col("v").alias("qv")), "q")
+        right = right.select("block", F.pmod(F.xxhash64("q"), F.col("crowds")).cast("int").alias("crowd"), "q", "qv", "keys")
+        return left.groupBy("block", "crowd").cogroup(right.groupBy("block", "crowd")).applyInArrow(rerank, "query_id long, found array<struct<loss:double,vec_id:long>>")
+
+    def probed(queries: DataFrame) -> DataFrame:
+        """The finds of queries (id, v, s) in the buckets that they visit."""
+        probes = map_in_arrow(queries.select("id", "v", "s"), visit, "q long, key long").join(counts, "key")
+        probes = probes.select("q", "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        probes = written(probes.select(block(F.col("part")).alias("block"), "q", "key").groupBy("block", "q").agg(F.collect_set("key").alias("keys")), "ann-probes")
+        split = small(counts.where("parts > 1"))
+        data = indexed.join(split, "key", "left").withColumn("block", block(F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")))
+        return in_crowds(data, probes)
+
+    def merged(found: DataFrame, name: str) -> DataFrame:
+        # A query has at most k from each block that it visits.
+        return written(found.groupBy("query_id").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k).alias("found")), name)
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
         asked_, found_ = pa.array([], pa.int64()), pa.array([], FOUND)
@@ -182,7 +190,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
             probed, who = lists.flatten().to_numpy(), np.repeat(np.arange(len(q)), lists.value_lengths().to_numpy())
             order = np.argsort(probed, kind="stable")
             probed, who = probed[order], who[order]
-            rows, columns, scores = [], [], []
+            rows, columns = [], []
+            q_norm, top_norm = np.linalg.norm(qx, axis=1), np.linalg.norm(x, axis=1).max()
             for b in np.unique(key):
                 a, z = np.searchsorted(key, [b, b + 1])
                 ask = who[slice(*np.searchsorted(probed, [b, b + 1]))]
@@ -190,31 +199,45 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
                     part = ask[i : i + 2048]
                     s = qx[part] @ x[a:z].T
                     s[q[part][:, None] == ids[a:z]] = -np.inf
-                    r, c = best(s, ids[a:z], k)
+                    r, c = likely(s, 1e-14 * x.shape[1] * q_norm[part] * top_norm, k)
                     rows.append(part[r])
                     columns.append(c + a)
-                    scores.append(s[r, c])
             if rows:
-                r, c, s = map(np.concatenate, (rows, columns, scores))
+                r, c = map(np.concatenate, (rows, columns))
                 order = np.lexsort((ids[c], r))  # a block may hold buckets of several tables: each vector once
                 order = order[np.concatenate(([True], (np.diff(r[order]) != 0) | (np.diff(ids[c][order]) != 0)))]
-                r, c, s = r[order], c[order], s[order]
-                order = np.lexsort((ids[c], -np.round(s, 12), r))
-                r, c, s = r[order], c[order], s[order]
-                place = np.arange(len(r)) - np.searchsorted(r, r)
-                keep = (place < k) & np.isfinite(s)
+                r, c = r[order], c[order]
+                keep = q[r] != ids[c]
                 r, c = r[keep], c[keep]
+            if rows and len(r):
                 # The same sum for the same two vectors, whatever the block's shape.
+                s = np.concatenate([(qx[r[i : i + 65536]] * x[c[i : i + 65536]]).sum(1) for i in range(0, len(r), 65536)])
+                order = np.lexsort((ids[c], -s, r))
+                r, c, s = r[order], c[order], s[order]
+                keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+                r, c, s = r[keep], c[keep], s[keep]
                 rows, starts = np.unique(r, return_index=True)
-                pairs = pa.StructArray.from_arrays([pa.array(-(qx[r] * x[c]).sum(1)), pa.array(ids[c])], names=["loss", "vec_id"])
+                pairs = pa.StructArray.from_arrays([pa.array(-s), pa.array(ids[c])], names=["loss", "vec_id"])
                 asked_, found_ = pa.array(q[rows]), pa.ListArray.from_arrays(pa.array(np.append(starts, len(r)).astype(np.int32)), pairs)
         return pa.Table.from_arrays([asked_, found_], names=["query_id", "found"])
 
     ship(spark)
-    found = data.groupBy("block", "crowd").cogroup(wanted.groupBy("block", "crowd")).applyInArrow(rerank, "query_id long, found array<struct<loss:double,vec_id:long>>")
-    # A query has at most k from each block that it visits.
-    merged = found.groupBy("query_id").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k).alias("found"))
-    out = merged.select("query_id", F.posexplode("found").alias("place", "x"))
+    found = merged(probed(asked.withColumn("s", F.lit(similarity))), "ann-found")
+    # Queries whose k-th find lies lower than the sample said visit what is likely at their own similarity.
+    v_norm = F.sqrt(square)
+    reach = found.where(F.size("found") >= k).select(F.col("query_id").alias("id"), (-F.get("found", F.lit(k - 1))["loss"]).alias("kth"))
+    low = asked.join(reach, "id").withColumn("s", F.greatest(F.lit(0.05), F.col("kth") / v_norm / norm)).where(F.col("s") < similarity)
+    low = written(low.select("id", "v", "s"), "ann-low")
+    if not low.isEmpty():
+        found = merged(found.union(probed(low)), "ann-found")
+    short = asked.join(found.where(F.size("found") >= min(k, n - 1)).select(F.col("query_id").alias("id")), "id", "left_anti").select("id")
+    short = written(short, "ann-short")
+    if not short.isEmpty():
+        parts = max(1, -(-n // BLOCK))
+        data = rows.select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("block"), "id", "v", F.lit(0).cast("long").alias("key"))
+        every = short.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("block"), F.col("id").alias("q"), F.array(F.lit(0).cast("long")).alias("keys"))
+        found = merged(found.union(in_crowds(data, every)), "ann-found")
+    out = found.select("query_id", F.posexplode("found").alias("place", "x"))
     return out.select("query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.loss")).alias("score"))
 
 
