@@ -7,17 +7,21 @@ lines; a surge is where the sum rises to the threshold, a dive where it falls to
 between them is kept, line by line, except for the zero-length lines.
 
 A page that marks its article (<article>, <main>, role=main or an article-like class) only counts
-lines inside it, and any text there is a surge. Elsewhere a surge needs SURGE characters in a window,
-and lines that are mostly links count zero; a page whose windows never reach that keeps what it has.
+lines inside it, and any text there is a surge; windows there remove runs of LINES or more lines that are
+mostly links (lists of other articles, menus without a telling name). Elsewhere a surge needs SURGE
+characters in a window, and any line that is mostly links counts zero; a page whose windows never reach
+that keeps what it has. Inside an article, names like ``entry-header`` or ``post-tags`` don't tell of noise;
+only a name that is the word itself does.
 
 Rows are independent: one ``mapInArrow`` over (keys, html), no shuffle. Null or empty html, and pages
-without text, give an empty string. Extra columns pass through only if named in ``keep``.
+without text, give an empty string; repeated rows are extracted each; pages of any length are read whole. Extra columns pass through only if named in ``keep``.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,14 +50,27 @@ _NOISE = re.compile(
     r"sharing|social|related|recommended|newsletter|subscri\w+|signup|login|pagination|pager|widget|tags|toolbar|skip|alert)(?:$|[\s_-])",
     re.I,
 )
+#: Names that say no more than how a container is laid out.
+_LAYOUT = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without|layout|page|body|site-wrap|wrapper)[\w-]*", re.I)
+#: Noise names that inside an article must be a whole class name.
+_WEAK = re.compile(r"(?:header|masthead|banner|side|menu|tags|alert|skip|pager|widget|toolbar|reply|replies|social|related|footer)", re.I)
 _CONTENT = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main)(?:$|[\s_-](?:body|content|text)?)", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _BLANK = re.compile(r"\s+")
 
 
-def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
-    """(noise, content): what an opening tag says about the text inside."""
+def _is_noise(names: str, inside: bool) -> bool:
+    """Whether class names and id tell of noise; ``inside`` an article weak words count only alone."""
+    for m in _NOISE.finditer(_LAYOUT.sub("", names)):
+        word = m[0].strip(" \t\r\n\f_-")
+        if not inside or not _WEAK.fullmatch(word) or word in names.split():
+            return True
+    return False
+
+
+def _marks(tag: str, attributes: str, inside: bool = False) -> tuple[bool, bool]:
+    """(noise, content): what an opening tag, ``inside`` an article or not, says about the text inside."""
     if tag in _DROPPED:
         return True, False
     said = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if attributes.strip() else {}
@@ -63,7 +80,7 @@ def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
     if tag in ("article", "main") or role in ("main", "article"):
         return bool(re.search(r"(?:^|[\s_-])comments?(?:$|[\s_-])", said.get("class", "") + " " + said.get("id", ""), re.I)), True
     names = f"{said.get('class', '')} {said.get('id', '')}"
-    if tag not in ("html", "body") and names.strip() and _NOISE.search(names):
+    if tag not in ("html", "body") and names.strip() and _is_noise(names, inside):
         return True, False
     return False, bool(names.strip() and tag in ("div", "section", "td") and _CONTENT.search(names))
 
@@ -101,7 +118,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
             break
         at = m.end()
         if m[0].startswith("<![CDATA["):
-            parts.append(m[0][9:-3])
+            parts.append(m[0][9:].removesuffix("]]>"))
             continue
         if m[2] is None:
             continue
@@ -128,7 +145,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
                 open_tags, noise, content, links = [], 0, 0, 0
                 is_noise, is_content = False, False
             else:
-                is_noise, is_content = _marks(tag, m[3])
+                is_noise, is_content = _marks(tag, m[3], content > 0)
             if is_noise or is_content or tag in ("a", "div", "section", "article", "main", "td", "header", "ul", "ol", "table", "span", *_DROPPED):
                 if is_noise:
                     flush()
@@ -174,12 +191,26 @@ def kept_lines(lengths: list[int], threshold: int, width: int = LINES) -> list[b
     return keep
 
 
+def runs(marks: list[bool], width: int = LINES) -> list[bool]:
+    """The marks that lie in a window of ``width`` marked lines."""
+    out, i = [False] * len(marks), 0
+    for mark, group in groupby(marks):
+        n = len(list(group))
+        out[i : i + n] = [mark and n >= width] * n
+        i += n
+    return out
+
+
 def main_text(page: str | None) -> str:
     """The page's article: its blocks, joined by blank lines."""
     lines = lines_of(page or "")
     inside = any(x[3] and not x[2] for x in lines)
     if inside:
-        lengths = [len(t) if c and not z else 0 for t, _, z, c in lines]
+        counted = [(t, a >= LINKED * len(t)) for t, a, z, c in lines if c and not z]
+        linked = iter(runs([x for _, x in counted]))
+        lengths = [len(t) if c and not z and not next(linked) else 0 for t, _, z, c in lines]
+        if not any(lengths):  # an article of links only
+            lengths = [len(t) if c and not z else 0 for t, _, z, c in lines]
         keep = kept_lines(lengths, 1)
     else:
         lengths = [0 if z or a >= LINKED * len(t) else len(t) for t, a, z, _ in lines]
