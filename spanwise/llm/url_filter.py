@@ -6,11 +6,13 @@ names: ``<link rel=canonical>`` and ``<meta http-equiv=refresh>``, relative ones
 page's address or its ``<base href>``. Components over these keys are the
 alias sets. An address decided by a rule keeps that verdict. Any other one is blocked if an alias of
 it is blocked by a rule, unless an alias is allowed by a rule: allow takes precedence. All else is
-allowed. Rule matching is one join of at most 127 host suffixes with a literal rule list.
+allowed. Up to FEW_RULES rules are one expression; longer lists become a table that is joined with the
+suffixes of the distinct hosts. Links in comments don't count.
 
 Defined results: a null address, or one without ``://``, has empty host and path, matches no rule and
 has no aliases: allowed. Repeated rows are judged alike. Null html names no target. An empty table
-gives an empty result. Extra columns pass through.
+gives an empty result. Addresses and html of any length are read whole. Extra columns pass through, but
+columns named host, path, rule or verdict are replaced.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from .components import connected_components
 
 #: The rules of the query: verdict, host, path prefix.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+#: Rule lists up to this long are one expression.
+FEW_RULES = 64
 
 
 def host_of(url: Column) -> Column:
@@ -50,8 +54,29 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return fits, verdict
 
 
+def with_rules(rows: DataFrame, host: Column, path: Column, rules=RULES) -> DataFrame:
+    """``rows`` with ``_rule`` and ``_kind`` of the longest rule that fits; ties go to allow, and null where none fits."""
+    if len(rules) <= FEW_RULES:
+        fits, verdict = rule_for(host, path, rules)
+        return rows.withColumns({"_rule": fits, "_kind": verdict})
+    by_host: dict[str, list[tuple[str, str]]] = {}
+    for kind, h, p in rules:
+        by_host.setdefault(h, []).append((p, kind))
+    table = rows.sparkSession.createDataFrame(list(by_host.items()), "suffix string, rules array<struct<p:string,kind:string>>")
+    rows = rows.withColumns({"_host": host, "_path": path})
+    parts = F.split("host", r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    hosts = rows.where("_host <> ''").select(F.col("_host").alias("host")).distinct().select("host", F.explode(ends).alias("suffix"))
+    named = F.transform("rules", lambda r: F.struct((F.length("suffix") + F.length(r["p"])).alias("n"), (r["kind"] == "allow").alias("allow"), r["p"].alias("p"), F.concat("suffix", r["p"]).alias("rule"), r["kind"].alias("kind")))
+    known = hosts.join(table, "suffix").groupBy(F.col("host").alias("_host")).agg(F.flatten(F.collect_list(named)).alias("_rules"))
+    rows = rows.join(known, "_host", "left")
+    longest = F.array_max(F.filter("_rules", lambda r: F.col("_path").startswith(r["p"])))
+    return rows.withColumn("_longest", longest).withColumns({"_rule": F.col("_longest.rule"), "_kind": F.col("_longest.kind")}).drop("_host", "_path", "_rules", "_longest")
+
+
 def link_targets(html: Column) -> Column:
-    """Addresses that canonical links and refresh redirects in the html name."""
+    """Addresses that canonical links and refresh redirects in the html, outside comments, name."""
+    html = F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", "")
     link = F.regexp_extract_all(html, F.lit(r"(?i)(<link\b[^>]*>)"), 1)
     link = F.filter(link, lambda t: t.rlike(r"""(?i)\brel\s*=\s*["']?canonical\b"""))
     link = F.transform(link, lambda t: F.regexp_extract(t, r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""", 1))
@@ -93,12 +118,11 @@ def judge(pages: DataFrame, url: str = "url", html: str | None = "html", redirec
     """Every page with host, path, rule and verdict. ``redirects``: more edges (source, target), both addresses."""
     rows = pages.drop("host", "path", "rule", "verdict")
     rows = rows.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url)), "_key": alias_key(F.col(url))})
-    fits, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": fits, "_by_rule": verdict})
+    rows = with_rules(rows, F.col("host"), F.col("path"), rules).withColumnsRenamed({"_rule": "rule", "_kind": "_by_rule"})
     edges = []
     if html is not None:
         linking = rows.where("_key is not null").where(F.col(html).rlike(r"(?i)canonical|refresh"))
-        told = F.regexp_extract(html, r"""(?is)<base\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
+        told = F.regexp_extract(F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", ""), r"""(?is)<base\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
         base = F.coalesce(resolved(F.col(url), told), F.col(url))
         named = linking.select(F.col("_key").alias("a"), base.alias("base"), F.explode(link_targets(F.col(html))).alias("t"))
         there = resolved(F.col("base"), F.col("t"))
@@ -111,8 +135,8 @@ def judge(pages: DataFrame, url: str = "url", html: str | None = "html", redirec
         linked = written(linked.where("b is not null"), "url-links")
         parts = connected_components(linked.select("a", "b"))
         # Targets need not be pages of the table: their own rules count too.
-        _, of_target = rule_for(host_of(F.col("_there")), path_of(F.col("_there")), rules)
-        keyed = keyed.unionByName(linked.select(F.col("b").alias("_key"), of_target.alias("_by_rule")))
+        of_target = with_rules(linked, host_of(F.col("_there")), path_of(F.col("_there")), rules)
+        keyed = keyed.unionByName(of_target.select(F.col("b").alias("_key"), F.col("_kind").alias("_by_rule")))
         parts = parts.select(F.col("node").alias("_node"), F.col("component").alias("_part"))
         keyed = keyed.join(parts, F.col("_key") == F.col("_node"), "left").select(F.coalesce("_part", "_key").alias("_part"), "_by_rule")
     else:
