@@ -47,7 +47,7 @@ def prepare(question, combine_how="average", max_input_tokens=MAX_INPUT_TOKENS,
     if combine_how not in ("average", "max"):
         raise invalid('combine must be "average" or "max".')
     if combine_how == "max" and question["type"] == "choice":
-        raise invalid('combine: "max" is for noul and score questions; choice answers are always averaged.')
+        raise invalid('Choices can only be averaged: combine="max" needs a score or noul question.')
     if not isinstance(max_input_tokens, int) or isinstance(max_input_tokens, bool) or not 0 < max_input_tokens < 1 << 53:
         raise invalid("max_input_tokens must be a positive integer.")
     if not isinstance(model, str) or is_blank(model):
@@ -57,7 +57,7 @@ def prepare(question, combine_how="average", max_input_tokens=MAX_INPUT_TOKENS,
         if not isinstance(key, str) or is_blank(key):
             raise invalid(f"No API key: set {API_KEY}, or pass api_key.")
         if not isinstance(url, str) or not (urlsplit(url).scheme and urlsplit(url).netloc):
-            raise invalid("url must be an absolute URL.")
+            raise invalid("url needs a scheme and a host.")
         transport = HttpTransport(url, key)
     if not callable(transport) and not isinstance(transport, ColumnTransport):
         raise invalid("transport must be a function.")
@@ -182,7 +182,7 @@ def decide_one(spark: SparkSession, **options) -> Row:
     if (tokens := token_count(text)) > limit:
         raise DecideError("input_too_large", f"The input is about {tokens:,} tokens, over the limit of {limit:,}. Split it, or raise max_input_tokens.")
     if cancelled is not None and cancelled.is_set():
-        raise DecideError("aborted", "The operation was aborted.")
+        raise DecideError("aborted", "Cancelled before it was done.")
     frame = spark.createDataFrame([(text,)], "text string")
     result = decide(frame, question, combine_how=how, on_error="column", **options).first()["result"]
     if result["error"] is not None:

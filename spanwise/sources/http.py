@@ -95,4 +95,4 @@ class HttpTransport:
         try:
             return json.loads(body)
         except ValueError:
-            raise HttpError(f"{host} returned a response that is not JSON") from None
+            raise HttpError(f"{host} answered with something other than JSON") from None
