@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Loaded at first use: executors import the package for one function at a time.
-_PLACES = {"ColumnTransport": "operators.decide", "DecideError": "errors", "decide": "operators.decide", "decide_one": "operators.decide", "estimate_tokens": "functions.text"}
+_PLACES = {"ColumnTransport": "operators.decide", "DecideError": "errors", "decide": "operators.decide", "decide_one": "operators.decide", "estimate_tokens": "functions.text", "result_schema": "operators.decide"}
 __all__ = sorted(_PLACES)
 
 

@@ -9,9 +9,11 @@ from __future__ import annotations
 import inspect
 import os
 import threading
+import uuid
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+from pyspark import InheritableThread
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +33,10 @@ API_KEY = "SPANWISE_API_KEY"
 ANSWER_TYPE = "struct<start:int,end:int,weight:double,value:double,label:string,probs:array<double>,confidence:double>"
 USAGE_TYPE = "struct<requests:bigint,input_tokens:bigint,cost_usd:double>"
 ERROR_TYPE = "struct<code:string,message:string,chunk:int,status:int>"
+#: Rows that a task answers before it passes them on: what a lost executor makes it pay for again.
+PASSED_ON = 16
+#: Columns that ``decide`` works with; a caller's columns of these names step aside meanwhile.
+_WORKING = {"_error", "_chunks", "_answer", "_agreement", "_model", "_usage", "_spans", "_read", "_done"}
 _OPTIONS = {"question", "combine", "max_input_tokens", "model", "transport", "url", "api_key"}
 
 
@@ -87,17 +93,23 @@ def decide(
     on_error: str = "fail",
     max_chunk_tokens: int | None = None,
     timeout: float = TIMEOUT_S,
+    output_col: str = "result",
 ) -> DataFrame:
     """``df`` with ``result``: value, label, probs and confidence, the public ``answer``, agreement, chunks, model, usage and error.
 
     ``on_error``: "fail" fails the job for any failing input; "column" puts the error beside a null
     answer. An answer never comes from a part of an input. ``max_chunk_tokens`` overrides the budget.
+    All columns of ``df`` stay, whatever their names; ``output_col`` must not be one of them.
     """
     transport, budget = prepare(question, combine_how, max_input_tokens, model, transport, url, api_key)
     budget = max_chunk_tokens or budget
     if on_error not in ("fail", "column"):
         raise invalid('on_error must be "fail" or "column".')
+    if output_col.lower() in {c.lower() for c in df.columns}:
+        raise invalid(f'There is a column "{output_col}" already: pass another output_col.')
     ship(df.sparkSession)
+    aside = {c: f"_aside_{i}_{c}" for i, c in enumerate(df.columns) if c.lower() in _WORKING}
+    df, input_col = df.withColumnsRenamed(aside), aside.get(input_col, input_col)
     rows = df.withColumn("_error", _gates(F.col(input_col), max_input_tokens))
     if isinstance(transport, ColumnTransport):
         rows = _by_column(rows, question, input_col, transport, budget)
@@ -122,7 +134,16 @@ def decide(
         out = F.when(F.col("_error").isNotNull(), F.raise_error(said)).otherwise(out)
     # A filter on the result must not be pushed below it, where the answers would be computed once more for each mention.
     out = F.when(F.rand(0) >= 0, out)
-    return rows.withColumn("result", out).drop("_error", "_chunks", "_answer", "_agreement", "_model", "_usage")
+    rows = rows.withColumn(output_col, out).drop("_error", "_chunks", "_answer", "_agreement", "_model", "_usage")
+    return rows.withColumnsRenamed({v: k for k, v in aside.items()})
+
+
+def result_schema(question) -> T.StructType:
+    """The type of ``result`` for a question."""
+    validate_question(question)
+    fields = {"choice": "choice:string,probabilities:map<string,double>,confidence:double", "score": "score:double,probabilities:map<string,double>,confidence:double", "noul": "noul:double"}
+    shown = f"answer struct<{fields[question['type']]}>"
+    return T._parse_datatype_string(f"type string, value double, label string, probs array<double>, confidence double, {shown}, agreement double, chunks array<{ANSWER_TYPE}>, model string, usage {USAGE_TYPE}, error {ERROR_TYPE}")
 
 
 def _by_column(rows: DataFrame, question, input_col: str, transport: ColumnTransport, budget: int) -> DataFrame:
@@ -159,7 +180,7 @@ def _by_calls(rows: DataFrame, question, input_col: str, transport, model: str,
         return {"chunks": chunks, "model": run.answered_by(), "usage": {"requests": run.requests, "input_tokens": int(run.input_tokens), "cost_usd": run.cost}, "error": problem}
 
     def work(batches):
-        for batch in batches:
+        for batch in (b.slice(k, PASSED_ON) for b in batches for k in range(0, b.num_rows, PASSED_ON)):
             out = [ask(t.as_py(), e.as_py()) for t, e in zip(batch.column(place), batch.column(gate), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, done)], names=[*batch.schema.names, "_done"])
 
@@ -168,6 +189,37 @@ def _by_calls(rows: DataFrame, question, input_col: str, transport, model: str,
     return called.withColumns({"_chunks": F.col("_done.chunks"), "_model": F.col("_done.model"), "_usage": F.col("_done.usage"), "_error": F.col("_done.error")}).drop("_done")
 
 
+def _first(rows: DataFrame, cancelled: threading.Event | None) -> Row:
+    """The only row; the job ends, and its requests with it, once ``cancelled`` is set."""
+    if cancelled is None:
+        return rows.first()
+    context, tag, out = rows.sparkSession.sparkContext, f"decide-{uuid.uuid4().hex}", []
+
+    def work() -> None:
+        context.addJobTag(tag)
+        context.setInterruptOnCancel(True)
+        try:
+            out.append(rows.first())
+        except Exception as error:
+            out.append(error)
+
+    job = InheritableThread(target=work, daemon=True, session=rows.sparkSession)
+    job.start()
+    while job.is_alive():
+        if cancelled.wait(0.05):
+            # The job may not have begun yet: told again until it ends.
+            context.cancelJobsWithTag(tag)
+            job.join(0.2)
+            if not job.is_alive():
+                break
+        job.join(0.01)
+    if cancelled.is_set():
+        raise DecideError("aborted", "Cancelled before it was done.")
+    if isinstance(out[0], Exception):
+        raise out[0]
+    return out[0]
+
+
 def decide_one(spark: SparkSession, **options) -> Row:
     """One input's result; raises DecideError, naming the first gate that fails."""
     for name in options:
@@ -184,11 +236,11 @@ def decide_one(spark: SparkSession, **options) -> Row:
     if cancelled is not None and cancelled.is_set():
         raise DecideError("aborted", "Cancelled before it was done.")
     frame = spark.createDataFrame([(text,)], "text string")
-    result = decide(frame, question, combine_how=how, on_error="column", **options).first()["result"]
+    result = _first(decide(frame, question, combine_how=how, on_error="column", **options), cancelled)["result"]
     if result["error"] is not None:
         e = result["error"]
         raise DecideError(e["code"], e["message"], e["chunk"], e["status"])
     return result
 
 
-__all__ = ["API_KEY", "ColumnTransport", "SPAN_TYPE", "decide", "decide_one", "estimate_tokens", "prepare"]
+__all__ = ["API_KEY", "ColumnTransport", "SPAN_TYPE", "decide", "decide_one", "estimate_tokens", "prepare", "result_schema"]

@@ -7,18 +7,18 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.answers import RAW_TYPE, read_answer
-from .functions.text import ATOM, SENTENCE, estimate_tokens, nonblank, sentences, size_gate
-from .operators.ask import next_budget, verdict
+from .functions.text import ATOM, BYTES_PER_TOKEN, SENTENCE, estimate_tokens, nonblank, sentences, size_gate, token_count
 from .operators.combine import agreement_ranked, combine_rows
-from .operators.decide import ColumnTransport, decide
+from .operators.decide import MAX_INPUT_TOKENS, ColumnTransport, decide
 from .plans.chunks import chunk_text, limits, piece_table, plan_chunks
-from .question import chunk_tokens_column, question_json
+from .question import MIN_CHUNK_TOKENS, chunk_tokens, chunk_tokens_column, question_json
 from .shipping import ship
-from .sources.http import effective_status, retry_after
+from .sources.http import HttpError, effective_status, retry_after
 from .streaming import decide_stream, run_available
 
 BUDGET = 500
@@ -405,10 +405,25 @@ def q_single_chunk(spark, d):
 
 
 def q_decide_corpus(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    joined = docs.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("x")).select("lang", F.array_join(F.transform("x", lambda x: x["text"]), "\n").alias("text"))
+    """One decision for all texts of a language. Sizes come first, as sums: only groups that pass the size gate, and are bounded by it, become one text."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("lang", "doc_id", "text")
+    sizes = docs.groupBy("lang").agg((F.sum(F.octet_length("text")) + F.count("text") - 1).alias("bytes"))
+    sizes = sizes.select(F.col("lang").alias("of"), (F.ceil(F.col("bytes") / BYTES_PER_TOKEN) <= MAX_INPUT_TOKENS).alias("fits"))
+    small = docs.join(sizes.where("fits"), F.col("lang").eqNullSafe(F.col("of")), "left_semi")
+    joined = small.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("x")).select("lang", F.array_join(F.transform("x", lambda x: x["text"]), "\n").alias("text"))
     rows = decide(joined, FOUND, transport=keyword(FOUND), on_error="column")
-    return rows.select("lang", F.col("result.error.code").alias("code"), (F.size("result.chunks") > 1).alias("many"), _round("result.value", "value"))
+    done = rows.select("lang", F.col("result.error.code").alias("code"), F.size("result.chunks").cast("long").alias("chunks"), _round("result.value", "value"))
+    return done.union(sizes.where("not fits").select("of", F.lit("input_too_large"), F.lit(None).cast("long"), F.lit(None).cast("double")))
+
+
+def _s_corpus() -> str:
+    spans = spans_sql("corpus", "lang", "text", chunk_tokens(FOUND))
+    asked = _ASKED.replace("documents ON doc_id = id", "corpus ON lang = id")
+    return f"""WITH RECURSIVE grouped AS (SELECT lang, string_agg(text, chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY lang),
+corpus AS (SELECT * FROM grouped WHERE ceil(strlen(text) / 3.0) <= {MAX_INPUT_TOKENS}),
+{spans}{asked}
+SELECT id AS lang, NULL AS code, count(*) AS chunks, round(sum(weight * p), 6) AS value FROM r GROUP BY id
+UNION ALL SELECT lang, 'input_too_large', NULL, NULL FROM grouped WHERE ceil(strlen(text) / 3.0) > {MAX_INPUT_TOKENS}"""
 
 
 def _fake(request: dict, timeout: float) -> dict:
@@ -449,52 +464,101 @@ def q_agreement_vs_quality(spark, d):
     return rows.groupBy("quality", (F.col("agreement") >= 0.9).alias("agreed")).agg(F.count(F.lit(1)).alias("n"))
 
 
-# --- failures of requests
+# --- failures of requests: models that fail by a text's length, asked about every document
+
+
+def _answered(spark, d, transport) -> DataFrame:
+    rows = decide(_docs(spark, d), TOPIC, transport=transport, on_error="column")
+    e = F.col("result.error")
+    return rows.select("doc_id", e["code"].alias("code"), e["status"].alias("status"), F.col("result.usage.requests").alias("requests"), F.col("result.chunks").alias("chunks"), "text")
+
 
-_CASES = [(413, False, False), (400, False, False), (408, False, False), (429, False, False), (500, False, False), (503, False, False), (404, False, False), (None, True, False), (None, False, True), (None, False, False), (413, True, False)]
+#: By length: what the model answers; none is an answer.
+_STATUSES = [None, 400, 408, 429, 500, 503, 404]
+
+
+def _failing(request: dict, timeout: float) -> dict:
+    status = _STATUSES[len(request["state"]) % len(_STATUSES)]
+    if status is not None:
+        raise HttpError("refused", status, 0.0)
+    return _fake(request, timeout)
 
 
 def q_retry_policy(spark, d):
-    rows = [(i, s, t, n, verdict(s, t, n)) for i, (s, t, n) in enumerate(_CASES)]
-    return spark.createDataFrame(rows, "id long, status int, timed_out boolean, network boolean, what string")
+    return _answered(spark, d, _failing).select("doc_id", "code", "status", "requests")
+
+
+def _listed(values) -> str:
+    return "[" + ", ".join("NULL" if v is None else str(v) for v in values) + "]"
 
 
 def _s_retry() -> str:
-    show = lambda x: "NULL" if x is None else str(x).lower()
-    values = ", ".join(f"({i}, {show(s)}, {show(t)}, {show(n)})" for i, (s, t, n) in enumerate(_CASES))
-    return f"""SELECT id::BIGINT AS id, status::INT AS status, timed_out, network, CASE WHEN status = 413 THEN 'too_long' WHEN timed_out OR network OR status IN (408, 429) OR status >= 500 THEN 'retry' ELSE 'fail' END AS what
-FROM (VALUES {values}) v(id, status, timed_out, network)"""
+    return f"""SELECT doc_id, CASE WHEN s IS NOT NULL THEN 'request_failed' END AS code, s::INT AS status, CASE WHEN s IN (408, 429) OR s >= 500 THEN 4 ELSE 1 END::BIGINT AS requests
+FROM (SELECT doc_id, {_listed(_STATUSES)}[length(text) % {len(_STATUSES)} + 1] AS s FROM documents)"""
 
 
+#: By length: how the model refuses.
 _BODIES = [(400, "This model's maximum context length is 32000"), (422, "TOO MANY TOKENS"), (400, "bad key"), (401, "too long"), (422, "Context window exceeded"), (400, "request too large"), (500, "token limit")]
 
 
+def _refusing(request: dict, timeout: float) -> dict:
+    status, body = _BODIES[len(request["state"]) % len(_BODIES)]
+    raise HttpError("refused", effective_status(status, body), 0.0)
+
+
 def q_too_long(spark, d):
-    return spark.createDataFrame([(i, effective_status(s, b)) for i, (s, b) in enumerate(_BODIES)], "id long, status int")
+    # Texts of one smallest chunk: a refused one can't be planned anew, so that its status comes out.
+    short = _docs(spark, d).where(estimate_tokens(F.col("text")) <= MIN_CHUNK_TOKENS)
+    rows = decide(short, TOPIC, transport=_refusing, on_error="column")
+    return rows.select("doc_id", F.col("result.error.status").alias("status"), F.col("result.usage.requests").alias("requests"))
 
 
 def _s_too_long() -> str:
     values = ", ".join(f"({i}, {s}, {_quoted(b)})" for i, (s, b) in enumerate(_BODIES))
-    return f"""SELECT id::BIGINT AS id, CASE WHEN s IN (400, 422) AND regexp_matches(b, '(?i)context (length|window)|maximum context|too many tokens|token limit|too long|too large') THEN 413 ELSE s END::INT AS status FROM (VALUES {values}) v(id, s, b)"""
+    return f"""SELECT doc_id, CASE WHEN s IN (400, 422) AND regexp_matches(b, '(?i)context (length|window)|maximum context|too many tokens|token limit|too long|too large') THEN 413 ELSE s END::INT AS status, CASE WHEN s >= 500 THEN 4 ELSE 1 END::BIGINT AS requests
+FROM documents JOIN (VALUES {values}) v(id, s, b) ON length(text) % {len(_BODIES)} = id WHERE ceil(strlen(text) / 3.0) <= {MIN_CHUNK_TOKENS}"""
 
 
 _AFTER = ["2", " 1.5 ", "-3", "", "soon", "Thu, 01 Jan 1970 00:01:00 GMT"]
 
 
+def _waits(headers: pd.Series) -> pd.Series:
+    return headers.map(lambda h: retry_after(h, now=0.0)).astype("float64")
+
+
 def q_retry_after(spark, d):
-    return spark.createDataFrame([(i, retry_after(x, now=0.0)) for i, x in enumerate(_AFTER)], "id long, ms double")
+    ship(spark)
+    waited = F.pandas_udf(_waits, "double")
+    header = F.get(F.array(*map(F.lit, _AFTER)), (F.col("doc_id") % len(_AFTER)).cast("int"))
+    return _docs(spark, d).select("doc_id", waited(header).alias("ms"))
+
 
+S_AFTER = f"SELECT doc_id, [2000.0, 1500.0, 0.0, NULL, NULL, 60000.0][doc_id % {len(_AFTER)} + 1]::DOUBLE AS ms FROM documents"
+#: Tokens that the small model takes.
+SMALL = 6000
 
-S_AFTER = "SELECT * FROM (VALUES (0::BIGINT, 2000.0::DOUBLE), (1, 1500.0), (2, 0.0), (3, NULL), (4, NULL), (5, 60000.0)) v(id, ms)"
-_BUDGETS = [(28_753, 28_000), (28_753, 30_000), (21_000, 20_500), (1_400, 1_300)]
+
+def _small(request: dict, timeout: float) -> dict:
+    if token_count(request["state"]) > SMALL:
+        raise HttpError("context length", 413)
+    return _fake(request, timeout)
 
 
 def q_replan_budget(spark, d):
-    return spark.createDataFrame([(a, b, next_budget(a, b)) for a, b in _BUDGETS], "budget long, estimate long, next long")
+    fits = F.forall("chunks", lambda c: estimate_tokens(F.substring(F.col("text"), c["start"] + 1, c["end"] - c["start"])) <= SMALL)
+    return _answered(spark, d, _small).select("doc_id", "code", (F.size("chunks") > 1).alias("replanned"), fits.alias("fits"))
+
+
+S_REPLAN = f"SELECT doc_id, NULL::VARCHAR AS code, ceil(strlen(text) / 3.0) > {SMALL} AS replanned, true AS fits FROM documents"
+
+
+def q_public_answer(spark, d):
+    rows = decide(_docs(spark, d), TOPIC, transport=keyword(TOPIC), max_chunk_tokens=BUDGET)
+    a = F.col("result.answer")
+    return rows.select("doc_id", a["choice"].alias("choice"), F.round(a["probabilities"]["en"], 6).alias("en"), F.round(a["probabilities"]["other"], 6).alias("other"), F.round(a["confidence"], 6).alias("confidence"))
 
 
-def _s_replan() -> str:
-    return f"SELECT a::BIGINT AS budget, b::BIGINT AS estimate, floor(least(a, b) * 0.75::DOUBLE)::BIGINT AS next FROM (VALUES {', '.join(map(str, _BUDGETS))}) v(a, b)"
+S_PUBLIC = "SELECT doc_id, value AS choice, p AS en, 0.0::DOUBLE AS other, 0.9::DOUBLE AS confidence FROM (" + S_DECIDE + ")"
 
 
 def _blank() -> str:
@@ -534,7 +598,7 @@ ALL = {
     "decide_score": (_decide(LEVEL), _s_decide("round(least(3.0, sum(weight * 3 * p)), 6)", "sum(weight * p)")),
     "decide_anywhere": (_decide(FOUND, "max"), S_ANYWHERE),
     "single_chunk": (q_single_chunk, "SELECT * FROM (" + S_DECIDE + ") WHERE chunks = 1"),
-    "decide_corpus": (q_decide_corpus, None),
+    "decide_corpus": (q_decide_corpus, _s_corpus()),
     "rpc_decide": (q_rpc_decide, S_DECIDE),
     "usage_rollup": (q_usage_rollup, S_USAGE),
     "stream_decide": (q_stream_decide, S_DECIDE),
@@ -542,7 +606,8 @@ ALL = {
     "retry_policy": (q_retry_policy, _s_retry()),
     "too_long_phrases": (q_too_long, _s_too_long()),
     "retry_after": (q_retry_after, S_AFTER),
-    "replan_budget": (q_replan_budget, _s_replan()),
+    "replan_budget": (q_replan_budget, S_REPLAN),
+    "public_answer": (q_public_answer, S_PUBLIC),
 }
 QUERIES = {k: q for k, (q, _) in ALL.items()}
 SQL = {k: s for k, (_, s) in ALL.items() if s}

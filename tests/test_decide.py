@@ -1,14 +1,17 @@
+import json
 import threading
+import time
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 from pyspark.sql import functions as F
 
-from spanwise import ColumnTransport, DecideError, decide, decide_one
+from spanwise import ColumnTransport, DecideError, decide, decide_one, result_schema
 from spanwise.functions.answers import read_scalar
 from spanwise.operators.ask import Run, backoff_ms, next_budget, verdict
 from spanwise.question import chunk_tokens, labels_of, question_json, validate_question
 from spanwise.queries import FOUND, LEVEL, TOPIC, _fake, keyword
-from spanwise.sources.http import HttpError, provider_message, retry_after
+from spanwise.sources.http import HttpError, HttpTransport, provider_message, retry_after
 
 from .test_chunks import prose
 
@@ -182,3 +185,100 @@ def test_agreement_vectors(spark):
     assert same == 1
     best = one.select(combine(FOUND, chunks((0.9, 0.2, 0.2), (0.1, 0.95, 0.95)), "max").alias("x")).first().x
     assert best.value == 0.95
+
+
+class _Model(BaseHTTPRequestHandler):
+    """Answers by the text: a status to fail with, or an answer."""
+
+    def do_POST(self):
+        request = json.loads(self.rfile.read(int(self.headers["content-length"])))
+        status, body, headers = self.server.answers[request["state"]]
+        self.server.seen.append((self.headers["authorization"], request))
+        if status is None:
+            self.server.hold.wait(5)
+            status = 200
+        self.send_response(status)
+        for name, value in headers.items():
+            self.send_header(name, value)
+        self.end_headers()
+        self.wfile.write(body.encode())
+
+    def log_message(self, *_):
+        pass
+
+
+def test_http_connector():
+    server = ThreadingHTTPServer(("127.0.0.1", 0), _Model)
+    server.hold, server.seen = threading.Event(), []
+    quoting = "the first twenty characters of this text are quoted"
+    server.answers = {
+        "good": (200, '{"answers": {}}', {}),
+        "busy": (429, '{"error": {"message": "slow down"}}', {"retry-after": "1.5"}),
+        "long": (400, '{"message": "maximum context length"}', {}),
+        quoting: (400, json.dumps({"message": "cannot read: " + quoting}), {}),
+        "html": (200, "<html>", {}),
+        "slow": (None, "{}", {}),
+    }
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    host = f"127.0.0.1:{server.server_port}"
+    call = HttpTransport(f"http://{host}/decide", "key-1")
+    ask = lambda text, timeout=5.0: call({"state": text, "questions": {"decision": FOUND}}, timeout)
+    assert ask("good") == {"answers": {}}
+    assert server.seen[0][0] == "Bearer key-1" and server.seen[0][1]["questions"]["decision"]["type"] == "noul"
+    for text, status, wait, said in (("busy", 429, 1500.0, f"{host} returned HTTP 429: slow down"), ("long", 413, None, "maximum context"), (quoting, 400, None, "HTTP 400"), ("html", None, None, "JSON")):
+        with pytest.raises(HttpError) as e:
+            ask(text)
+        assert (e.value.status, e.value.retry_after_ms) == (status, wait) and said in str(e.value) and quoting not in str(e.value)
+    with pytest.raises(TimeoutError):
+        ask("slow", 0.3)
+    server.hold.set()
+    server.shutdown()
+    server.server_close()
+    with pytest.raises(ConnectionError):
+        ask("good")
+    assert "key-1" not in repr(call)
+
+
+def test_cancel_running_call(spark):
+    stop = threading.Event()
+
+    def slow(request, timeout):
+        time.sleep(30)
+
+    threading.Timer(3, stop.set).start()
+    begun = time.time()
+    with pytest.raises(DecideError) as e:
+        decide_one(spark, input="a text", question=FOUND, transport=slow, cancelled=stop)
+    assert e.value.code == "aborted" and time.time() - begun < 20
+    with pytest.raises(DecideError) as e:
+        decide_one(spark, input="a text", question=FOUND, transport=_fake, cancelled=stop)
+    assert e.value.code == "aborted"
+    assert decide_one(spark, input="the end", question=TOPIC, transport=_fake, cancelled=threading.Event())["label"] == "en"
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = spark.createDataFrame([("the the que", 1, 2, 3, "x")], "_chunks string, _error int, _DONE int, _answer int, text string")
+    for model in (keyword(TOPIC), _fake):
+        r = decide(rows, TOPIC, input_col="_chunks", transport=model).first()
+        assert list(r[:5]) == ["the the que", 1, 2, 3, "x"] and r.result.label == "en"
+    with pytest.raises(DecideError, match="output_col"):
+        decide(rows.withColumn("result", F.lit(1)), TOPIC, transport=_fake)
+    assert "said" in decide(rows.withColumn("result", F.lit(1)), TOPIC, transport=_fake, output_col="said").columns
+
+
+def test_result_schema(spark):
+    rows = spark.createDataFrame([("the",)], "text string")
+    for question in (TOPIC, LEVEL, FOUND):
+        for model in (keyword(question), _fake):
+            assert decide(rows, question, transport=model).schema["result"].dataType.simpleString() == result_schema(question).simpleString()
+
+
+def test_first_failing_gate_is_named(spark, monkeypatch):
+    monkeypatch.delenv("SPANWISE_API_KEY", raising=False)
+    wrong = [("oops", 1, "oops"), ("input", " ", "input must"), ("question", {}, None), ("combine", "most", "combine must"), ("max_input_tokens", 0, "max_input_tokens"), ("model", " ", "model must"), ("url", "x", "API key")]
+    good = {"input": "x", "question": TOPIC}
+    for k, (_, _, said) in enumerate(wrong):
+        options = good | {name: value for name, value, _ in wrong[k:]}
+        with pytest.raises(DecideError) as e:
+            decide_one(spark, **options)
+        assert said is None or said in e.value.message
