@@ -74,6 +74,21 @@ def test_ngram_join(docs, empty, width, percent):
     assert ngram_join.near_groups(empty).count() == 0
 
 
+def test_bit_sketches_never_drop_links(spark):
+    rng, rule = np.random.default_rng(1), ngram_join.Threshold(80)
+    rows, linked = [], []
+    for n in (1, 5, 50, 500):
+        base = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for k in range(0, n, max(1, n // 25)):
+            other = np.unique(np.concatenate((base[k:], rng.integers(0, 1 << 63, k // 2).astype(np.uint64))))
+            rows.append((len(base), len(other), ngram_join.bit_sketch(base).tolist(), ngram_join.bit_sketch(other).tolist()))
+            linked.append(rule.linked(len(np.intersect1d(base, other)), len(base), len(other)))
+    table = spark.createDataFrame(rows, "n long, m long, a array<long>, b array<long>").coalesce(1)
+    may = [r[0] for r in table.select(ngram_join.may_link(rule, *(F.col(c) for c in "nmab"))).collect()]
+    assert all(x or not y for x, y in zip(may, linked, strict=True))
+    assert sum(linked) > 5 and may.count(False) > len(may) // 2
+
+
 def test_ngram_many_near_copies(spark):
     """A group without a shared original, whose members link by chance: no round may lose a link."""
     rng = random.Random(8)
