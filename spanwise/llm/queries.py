@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, html_extract, lm, ngram_join, packing, pii, quality, token_output, url_filter
+from . import ann, bpe, clustering, html_extract, lm, negatives, ngram_join, packing, pii, quality, token_output, url_filter
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.query,
@@ -15,5 +15,12 @@ QUERIES = {
     "op8_token_output": token_output.query,
     "op9_lm_scoring": lm.query,
     "op10_byte_bpe": bpe.query,
+    "op11_centroid_clustering": clustering.query,
+    "op12_hard_negatives": negatives.query,
+}
+SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": ngram_join.SQL,
+    "op6_url_filters": url_filter.SQL,
+    "op11_centroid_clustering": clustering.SQL,
+    "op12_hard_negatives": negatives.SQL,
 }
-SQL: dict[str, str] = {"op1_ngram_jaccard_join": ngram_join.SQL, "op6_url_filters": url_filter.SQL}
