@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, clustering, html_extract, lm, negatives, ngram_join, packing, pii, quality, token_output, url_filter
+from . import ann, bpe, clustering, html_extract, lm, negatives, ngram_join, packing, pii, quality, repeats, token_output, url_filter
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.query,
@@ -17,10 +17,12 @@ QUERIES = {
     "op10_byte_bpe": bpe.query,
     "op11_centroid_clustering": clustering.query,
     "op12_hard_negatives": negatives.query,
+    "op13_suffix_array_dedup": repeats.query,
 }
 SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": ngram_join.SQL,
     "op6_url_filters": url_filter.SQL,
     "op11_centroid_clustering": clustering.SQL,
     "op12_hard_negatives": negatives.SQL,
+    "op13_suffix_array_dedup": repeats.SQL,
 }
