@@ -471,9 +471,8 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 #: Of hexadecimal texts, two characters a byte, so that positions are those of bytes.
 SQL = f"""WITH d AS (SELECT row_number() OVER () AS n, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT n, doc_id, i, substring(h, 2 * i + 1, {2 * SPAN}) AS s FROM (SELECT n, doc_id, h, unnest(range(0, strlen(h) // 2 - {SPAN - 1})) AS i FROM d WHERE doc_id IS NOT NULL)),
-f AS (SELECT hash(s) AS a, md5_number(s) AS b, min(doc_id) AS first FROM w GROUP BY ALL),
-hit AS (SELECT n, i FROM w JOIN f ON hash(s) = a AND md5_number(s) = b WHERE doc_id > first),
+w AS MATERIALIZED (SELECT n, doc_id, i, md5_number(substring(h, 2 * i + 1, {2 * SPAN})) AS s FROM (SELECT n, doc_id, h, unnest(range(0, strlen(h) // 2 - {SPAN - 1})) AS i FROM d WHERE doc_id IS NOT NULL)),
+hit AS (SELECT n, i FROM w JOIN (SELECT s, min(doc_id) AS first FROM w GROUP BY s) USING (s) WHERE doc_id > first),
 g AS (SELECT n, i, CASE WHEN i <= lag(i) OVER o + {SPAN} THEN 0 ELSE 1 END AS new FROM hit WINDOW o AS (PARTITION BY n ORDER BY i)),
 r AS (SELECT n, min(i) AS a, max(i) + {SPAN} AS z FROM (SELECT *, sum(new) OVER (PARTITION BY n ORDER BY i) AS k FROM g) GROUP BY n, k),
 k AS (SELECT n, a, z, lag(z, 1, 0::BIGINT) OVER (PARTITION BY n ORDER BY a) AS before FROM r),

@@ -89,6 +89,16 @@ def test_bit_sketches_never_drop_links(spark):
     assert sum(linked) > 5 and may.count(False) > len(may) // 2
 
 
+def test_crowded_buckets_make_few_pairs(spark):
+    """50,000 connected members and five outsiders, two of them connected: no pair of members, each open one once."""
+    n = 50_000
+    flat = F.array_repeat(F.lit(0).cast("long"), 8)
+    rows = spark.range(n + 6).select(F.lit(1).alias("key"), F.lit(n + 5).cast("long").alias("p"), F.col("id").alias("x"), F.lit(10).cast("long").alias("n"), flat.alias("flat"), F.when(F.col("id") < n, 0).when(F.col("id") < n + 2, n).otherwise(F.col("id")).alias("component"))
+    rows = rows.withColumns({"few": F.lit(True), "minor": F.col("component") != 0})
+    pairs = ngram_join._near(rows, ngram_join.Threshold(80))
+    assert pairs.count() == pairs.distinct().count() == 5 * n + 9 and pairs.where("p >= x").isEmpty()
+
+
 def test_ngram_many_near_copies(spark):
     """A group without a shared original, whose members link by chance: no round may lose a link."""
     rng = random.Random(8)
