@@ -101,11 +101,11 @@ def _number(x) -> bool:
     return isinstance(x, (int, float)) and not isinstance(x, bool)
 
 
-def read_scalar(question, response) -> tuple[dict | None, str | None]:
-    """(answer, problem) of a whole response: ``answers.decision`` is read as ``read_answer`` does."""
+def read_scalar(question, response, name: str = "decision") -> tuple[dict | None, str | None]:
+    """(answer, problem) of a whole response: the answer of this name is read as ``read_answer`` does."""
     kind, labels = question["type"], labels_of(question)
     answers = response.get("answers") if isinstance(response, Mapping) else None
-    raw = answers.get("decision") if isinstance(answers, Mapping) else None
+    raw = answers.get(name) if isinstance(answers, Mapping) else None
     if not isinstance(raw, Mapping) or raw.get("type") != kind:
         return None, WRONG_TYPE.format(kind)
 

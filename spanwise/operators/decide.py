@@ -23,7 +23,7 @@ from ..functions.answers import malformed, read_answer
 from ..functions.text import estimate_tokens, let, nonblank, size_gate, token_count
 from ..plans.chunks import SPAN_TYPE, chunk_text, plan_chunks
 from ..question import MIN_CHUNK_TOKENS, chunk_tokens, is_blank, validate_question
-from ..shipping import map_in_arrow, ship
+from ..shipping import ship
 from ..sources.http import HttpTransport
 from .ask import TIMEOUT_S, Run
 from .combine import agreement, combine, public
@@ -33,8 +33,6 @@ API_KEY = "SPANWISE_API_KEY"
 ANSWER_TYPE = "struct<start:int,end:int,weight:double,value:double,label:string,probs:array<double>,confidence:double>"
 USAGE_TYPE = "struct<requests:bigint,input_tokens:bigint,cost_usd:double>"
 ERROR_TYPE = "struct<code:string,message:string,chunk:int,status:int>"
-#: Rows that a task answers before it passes them on: what a lost executor makes it pay for again.
-PASSED_ON = 16
 #: Columns that ``decide`` works with; a caller's columns of these names step aside meanwhile.
 _WORKING = {"_error", "_chunks", "_answer", "_agreement", "_model", "_usage", "_spans", "_read", "_done"}
 _OPTIONS = {"question", "combine", "max_input_tokens", "model", "transport", "url", "api_key"}
@@ -70,14 +68,14 @@ def prepare(question, combine_how="average", max_input_tokens=MAX_INPUT_TOKENS,
     return transport, chunk_tokens(question)
 
 
-def _error(code: str, message: Column, chunk: Column | None = None) -> Column:
+def error_of(code: str, message: Column, chunk: Column | None = None) -> Column:
     none = F.lit(None).cast("int")
     return F.struct(F.lit(code).alias("code"), message.alias("message"), (none if chunk is None else chunk).alias("chunk"), none.alias("status"))
 
 
-def _gates(text: Column, max_input_tokens: int) -> Column:
+def gates(text: Column, max_input_tokens: int) -> Column:
     too_large = size_gate(text, max_input_tokens)
-    return F.when(~nonblank(text), _error("invalid_request", F.lit("input must be a non-empty string."))).when(too_large.isNotNull(), _error("input_too_large", too_large))
+    return F.when(~nonblank(text), error_of("invalid_request", F.lit("input must be a non-empty string."))).when(too_large.isNotNull(), error_of("input_too_large", too_large))
 
 
 def decide(
@@ -110,7 +108,7 @@ def decide(
     ship(df.sparkSession)
     aside = {c: f"_aside_{i}_{c}" for i, c in enumerate(df.columns) if c.lower() in _WORKING}
     df, input_col = df.withColumnsRenamed(aside), aside.get(input_col, input_col)
-    rows = df.withColumn("_error", _gates(F.col(input_col), max_input_tokens))
+    rows = df.withColumn("_error", gates(F.col(input_col), max_input_tokens))
     if isinstance(transport, ColumnTransport):
         rows = _by_column(rows, question, input_col, transport, budget)
     else:
@@ -132,9 +130,9 @@ def decide(
     if on_error == "fail":
         said = F.concat_ws(": ", F.col("_error.code"), F.col("_error.message"))
         out = F.when(F.col("_error").isNotNull(), F.raise_error(said)).otherwise(out)
-    # A filter on the result must not be pushed below it, where the answers would be computed once more for each mention.
-    out = F.when(F.rand(0) >= 0, out)
-    rows = rows.withColumn(output_col, out).drop("_error", "_chunks", "_answer", "_agreement", "_model", "_usage")
+    # Filters on the result stay above a generator, so that no answer is computed once more for each mention; those on
+    # other columns go below it, down to the scan.
+    rows = rows.select("*", F.explode_outer(F.array(out)).alias(output_col)).drop("_error", "_chunks", "_answer", "_agreement", "_model", "_usage")
     return rows.withColumnsRenamed({v: k for k, v in aside.items()})
 
 
@@ -155,17 +153,19 @@ def _by_column(rows: DataFrame, question, input_col: str, transport: ColumnTrans
     first = F.get(bad, F.lit(0))
     count = F.size("_read").cast("string")
     said = F.concat(F.lit("Chunk "), (first["i"] + 1).cast("string"), F.lit(" of "), count, F.lit(" failed: "), F.concat(F.lit(malformed("\x00").split("\x00")[0]), first["problem"], F.lit(".")))
-    rows = rows.withColumn("_error", F.coalesce("_error", F.when(first.isNotNull(), _error("request_failed", said, first["i"]))))
+    rows = rows.withColumn("_error", F.coalesce("_error", F.when(first.isNotNull(), error_of("request_failed", said, first["i"]))))
     chunks = F.transform("_read", lambda c: F.struct(*[c[n].alias(n) for n in ("start", "end", "weight", "value", "label", "probs", "confidence")]))
     usage = F.struct(F.size("_spans").cast("long").alias("requests"), F.lit(0).cast("long").alias("input_tokens"), F.lit(None).cast("double").alias("cost_usd"))
     return rows.withColumns({"_chunks": chunks, "_model": F.lit(transport.model), "_usage": usage}).drop("_spans", "_read")
 
 
+#: What a remote call's row comes to, in Arrow's types.
+_DONE = pa.struct([("chunks", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("weight", pa.float64()), ("value", pa.float64()), ("label", pa.string()), ("probs", pa.list_(pa.float64())), ("confidence", pa.float64())]))), ("model", pa.string()), ("usage", pa.struct([("requests", pa.int64()), ("input_tokens", pa.int64()), ("cost_usd", pa.float64())])), ("error", pa.struct([("code", pa.string()), ("message", pa.string()), ("chunk", pa.int32()), ("status", pa.int32())]))])
+
+
 def _by_calls(rows: DataFrame, question, input_col: str, transport, model: str, budget: int, timeout: float) -> DataFrame:
+    """A scalar function of text and gate: all other columns stay in the JVM."""
     least = min(MIN_CHUNK_TOKENS, budget)
-    place = rows.columns.index(input_col)
-    gate = rows.columns.index("_error")
-    done = pa.struct([("chunks", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("weight", pa.float64()), ("value", pa.float64()), ("label", pa.string()), ("probs", pa.list_(pa.float64())), ("confidence", pa.float64())]))), ("model", pa.string()), ("usage", pa.struct([("requests", pa.int64()), ("input_tokens", pa.int64()), ("cost_usd", pa.float64())])), ("error", pa.struct([("code", pa.string()), ("message", pa.string()), ("chunk", pa.int32()), ("status", pa.int32())]))])
 
     def ask(text: str | None, error) -> dict:
         if error is not None:
@@ -179,13 +179,11 @@ def _by_calls(rows: DataFrame, question, input_col: str, transport, model: str,
             problem = {"code": e.code, "message": e.message, "chunk": e.chunk, "status": e.status}
         return {"chunks": chunks, "model": run.answered_by(), "usage": {"requests": run.requests, "input_tokens": int(run.input_tokens), "cost_usd": run.cost}, "error": problem}
 
-    def work(batches):
-        for batch in (b.slice(k, PASSED_ON) for b in batches for k in range(0, b.num_rows, PASSED_ON)):
-            out = [ask(t.as_py(), e.as_py()) for t, e in zip(batch.column(place), batch.column(gate), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, done)], names=[*batch.schema.names, "_done"])
+    def asked(texts: pa.Array, gates: pa.Array) -> pa.Array:
+        return pa.array([ask(t.as_py(), g.as_py()) for t, g in zip(texts, gates, strict=True)], _DONE)
 
-    schema = T.StructType([*rows.schema, T.StructField("_done", T._parse_datatype_string(f"struct<chunks:array<{ANSWER_TYPE}>,model:string,usage:{USAGE_TYPE},error:{ERROR_TYPE}>"))])
-    called = map_in_arrow(rows, work, schema)
+    done = F.arrow_udf(asked, f"struct<chunks:array<{ANSWER_TYPE}>,model:string,usage:{USAGE_TYPE},error:{ERROR_TYPE}>")
+    called = rows.withColumn("_done", done(F.col(input_col), F.col("_error")))
     return called.withColumns({"_chunks": F.col("_done.chunks"), "_model": F.col("_done.model"), "_usage": F.col("_done.usage"), "_error": F.col("_done.error")}).drop("_done")
 
 

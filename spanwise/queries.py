@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 from .functions.answers import RAW_TYPE, read_answer
 from .functions.text import ATOM, BYTES_PER_TOKEN, SENTENCE, estimate_tokens, nonblank, sentences, size_gate, token_count
+from .operators.cached import AnswerCache, decide_cached
 from .operators.combine import agreement_ranked, combine_rows
 from .operators.decide import MAX_INPUT_TOKENS, ColumnTransport, decide
+from .operators.many import decide_many, unnested
 from .plans.chunks import chunk_text, limits, piece_table, plan_chunks
 from .question import MIN_CHUNK_TOKENS, chunk_tokens, chunk_tokens_column, question_json
+from .shared import fresh_folder
 from .shipping import ship
 from .sources.http import HttpError, effective_status, retry_after
 from .streaming import decide_stream, run_available
@@ -376,10 +379,10 @@ def _s_asked(value: str) -> str:
     return DOC_SPANS + _ASKED + f" SELECT id AS doc_id, idx, {value} AS value, round(p, 6) AS p FROM r"
 
 
-def _decided(rows: DataFrame, question) -> DataFrame:
+def _decided(rows: DataFrame, question, *more: str) -> DataFrame:
     r = F.col("result")
     value = r["label"] if question["type"] == "choice" else F.round(r["value"], 6)
-    return rows.select("doc_id", value.alias("value"), F.size(r["chunks"]).cast("long").alias("chunks"), F.round(F.element_at(r["probs"], 1 if question["type"] == "choice" else -1), 6).alias("p"), _round(r["agreement"], "agreement"))
+    return rows.select(*more, "doc_id", value.alias("value"), F.size(r["chunks"]).cast("long").alias("chunks"), F.round(F.element_at(r["probs"], 1 if question["type"] == "choice" else -1), 6).alias("p"), _round(r["agreement"], "agreement"))
 
 
 def _decide(question, how: str = "average"):
@@ -394,7 +397,8 @@ def _s_decide(value: str, p: str) -> str:
 FROM r LEFT JOIN agreed USING (id) GROUP BY r.id"""
 
 
-S_DECIDE = _s_decide(f"CASE WHEN {_ONE} THEN CASE WHEN any_value(a) >= any_value(b) THEN 'en' ELSE 'fr' END WHEN sum(weight * p) >= sum(weight * (1 - p)) THEN 'en' ELSE 'fr' END", "sum(weight * p)")
+_CHOSEN = f"CASE WHEN {_ONE} THEN CASE WHEN any_value(a) >= any_value(b) THEN 'en' ELSE 'fr' END WHEN sum(weight * p) >= sum(weight * (1 - p)) THEN 'en' ELSE 'fr' END"
+S_DECIDE = _s_decide(_CHOSEN, "sum(weight * p)")
 S_ANYWHERE = _s_decide("round(max(p), 6)", "max(p)")
 
 
@@ -437,6 +441,72 @@ def q_rpc_decide(spark, d):
     return _decided(decide(_docs(spark, d), TOPIC, transport=_fake, max_chunk_tokens=BUDGET, on_error="column"), TOPIC)
 
 
+def _inputs(spark, d) -> DataFrame:
+    """Documents and conversation turns, by ids that don't meet."""
+    turns = spark.read.parquet(f"{d}/conversations.parquet").where("text <> ''")
+    turns = turns.select((TURN_IDS + F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    return _docs(spark, d).union(turns)
+
+
+QUESTIONS = {"topic": TOPIC, "level": LEVEL, "found": FOUND}
+
+
+def _fake_many(request: dict, timeout: float) -> dict:
+    """The keyword model, asked several questions at once."""
+    a, b = (request["state"].count(WORDS[k]) + 1 for k in ("en", "fr"))
+    p, out = a / (a + b), {}
+    for name, question in request["questions"].items():
+        kind = question["type"]
+        more = {"choice": {"choice": "en" if a >= b else "fr", "probabilities": {"en": p, "fr": b / (a + b)}}, "score": {"score": 3 * p, "probabilities": {"0": 1 - p, "3": p}}, "noul": {"noul": p}}[kind]
+        out[name] = {"type": kind, "confidence": 0.9} | more
+    return {"model": "keyword-1", "answers": out, "usage": {"input_tokens": 100 * len(out), "cost": 0.001}}
+
+
+def _many(transport=None):
+    def query(spark, d):
+        model = transport or {n: keyword(q) for n, q in QUESTIONS.items()}
+        rows = decide_many(_docs(spark, d), QUESTIONS, combine_how={"found": "max"}, transport=model, max_chunk_tokens=BUDGET)
+        long = unnested(rows.withColumn("requests", F.col("result.usage.requests")), QUESTIONS, "doc_id", "requests")
+        value = F.coalesce("label", F.round("value", 6).cast("string"))
+        p = F.round(F.element_at("probs", F.when(F.col("type") == "choice", 1).otherwise(-1)), 6)
+        return long.select("doc_id", "question", value.alias("value"), p.alias("p"), _round("agreement", "agreement"), F.size("chunks").cast("long").alias("chunks"), "requests")
+
+    return query
+
+
+def _s_many() -> str:
+    kinds = {"topic": (_CHOSEN, "sum(weight * p)"), "level": ("round(least(3.0, sum(weight * 3 * p)), 6)::DOUBLE::VARCHAR", "sum(weight * p)"), "found": ("round(max(p), 6)::DOUBLE::VARCHAR", "max(p)")}
+    one = lambda n: f"SELECT r.id AS doc_id, '{n}' AS question, {kinds[n][0]} AS value, round({kinds[n][1]}, 6) AS p, round(coalesce(any_value(agreement), 1.0), 6) AS agreement, count(*) AS chunks, count(*) AS requests FROM r LEFT JOIN agreed USING (id) GROUP BY r.id"
+    return DOC_SPANS + _ASKED + _DECIDED + " " + " UNION ALL ".join(map(one, kinds))
+
+
+#: Ids of conversation turns among documents begin here.
+TURN_IDS = 10_000_000_000
+S_INPUTS = f"inputs AS (SELECT doc_id, text FROM documents UNION ALL SELECT {TURN_IDS} + conv_id * 1000 + turn, text FROM conversations WHERE text <> '')"
+
+
+def q_cached_decide(spark, d):
+    """Documents, then documents and conversations, over one cache that is empty at first."""
+    cache, out = AnswerCache(spark, fresh_folder(spark, "answers")), []
+    for run, rows in enumerate((_docs(spark, d), _inputs(spark, d))):
+        rows = decide_cached(rows, TOPIC, cache, "doc_id", transport=_fake, max_chunk_tokens=BUDGET)
+        u = F.col("result.usage")
+        out.append(_decided(rows.withColumns({"run": F.lit(run), "requests": u["requests"], "input_tokens": u["input_tokens"]}), TOPIC, "run", "requests", "input_tokens"))
+    return out[0].union(out[1])
+
+
+def _s_cached() -> str:
+    """An address is asked for by the first chunk that has it, in the run that meets it first."""
+    spans = spans_sql("inputs", "doc_id", "text", BUDGET)
+    asked = _ASKED.replace("documents ON", "inputs ON")
+    return f"""WITH RECURSIVE {S_INPUTS}, {spans}{asked}{_DECIDED},
+decided AS (SELECT r.id AS doc_id, {_CHOSEN} AS value, count(*) AS chunks, round(sum(weight * p), 6) AS p, round(coalesce(any_value(agreement), 1.0), 6) AS agreement FROM r LEFT JOIN agreed USING (id) GROUP BY r.id),
+state AS (SELECT id, idx, sha256(substring(text, start + 1, end_ - start)) AS key FROM span JOIN inputs ON doc_id = id),
+asks AS (SELECT id, count(*) AS requests, run FROM (SELECT id, (id >= {TURN_IDS})::INT AS run FROM state QUALIFY row_number() OVER (PARTITION BY key ORDER BY id, idx) = 1) GROUP BY ALL)
+SELECT d.run, doc_id, value, chunks, p, agreement, coalesce(requests, 0) AS requests, coalesce(100 * requests, 0) AS input_tokens
+FROM (SELECT 0::INT AS run, * FROM decided WHERE doc_id < {TURN_IDS} UNION ALL SELECT 1, * FROM decided) d LEFT JOIN asks ON id = doc_id AND asks.run = d.run"""
+
+
 def q_usage_rollup(spark, d):
     rows = decide(_docs(spark, d), TOPIC, transport=_fake, max_chunk_tokens=BUDGET, on_error="column")
     u = F.col("result.usage")
@@ -447,12 +517,8 @@ S_USAGE = DOC_SPANS + " SELECT 'keyword-1' AS model, count(*) AS requests, (100
 
 
 def q_stream_decide(spark, d):
-    import tempfile
-    import uuid
-
     schema = spark.read.parquet(f"{d}/documents.parquet").schema
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    where = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    where = fresh_folder(spark, "stream")
     # A stream reads a folder; the glob picks the table in it.
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(d)
     decided = decide_stream(stream.select("doc_id", "text"), TOPIC, transport=keyword(TOPIC), max_chunk_tokens=BUDGET)
@@ -600,6 +666,9 @@ ALL = {
     "single_chunk": (q_single_chunk, "SELECT * FROM (" + S_DECIDE + ") WHERE chunks = 1"),
     "decide_corpus": (q_decide_corpus, _s_corpus()),
     "rpc_decide": (q_rpc_decide, S_DECIDE),
+    "decide_many": (_many(), _s_many()),
+    "rpc_decide_many": (_many(_fake_many), _s_many()),
+    "cached_decide": (q_cached_decide, _s_cached()),
     "usage_rollup": (q_usage_rollup, S_USAGE),
     "stream_decide": (q_stream_decide, S_DECIDE),
     "agreement_vs_quality": (q_agreement_vs_quality, "SELECT quality, agreement >= 0.9 AS agreed, count(*) AS n FROM (" + S_DECIDE + ") JOIN labels USING (doc_id) GROUP BY ALL"),
