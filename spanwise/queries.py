@@ -16,6 +16,7 @@ from .functions.text import ATOM, BYTES_PER_TOKEN, SENTENCE, estimate_tokens, no
 from .operators.cached import AnswerCache, decide_cached
 from .operators.combine import agreement_ranked, combine_rows
 from .operators.decide import MAX_INPUT_TOKENS, ColumnTransport, decide
+from .operators.evaluate import CHUNK_BANDS, best_threshold, calibration, chunk_band, label_f1, reliability, score_errors, thresholds
 from .operators.many import decide_many, unnested
 from .plans.chunks import chunk_text, limits, piece_table, plan_chunks
 from .question import MIN_CHUNK_TOKENS, chunk_tokens, chunk_tokens_column, question_json
@@ -399,6 +400,7 @@ FROM r LEFT JOIN agreed USING (id) GROUP BY r.id"""
 
 _CHOSEN = f"CASE WHEN {_ONE} THEN CASE WHEN any_value(a) >= any_value(b) THEN 'en' ELSE 'fr' END WHEN sum(weight * p) >= sum(weight * (1 - p)) THEN 'en' ELSE 'fr' END"
 S_DECIDE = _s_decide(_CHOSEN, "sum(weight * p)")
+S_SCORE = _s_decide("round(least(3.0, sum(weight * 3 * p)), 6)", "sum(weight * p)")
 S_ANYWHERE = _s_decide("round(max(p), 6)", "max(p)")
 
 
@@ -530,6 +532,81 @@ def q_agreement_vs_quality(spark, d):
     return rows.groupBy("quality", (F.col("agreement") >= 0.9).alias("agreed")).agg(F.count(F.lit(1)).alias("n"))
 
 
+# --- decisions against labels
+
+
+def _judged(spark, d) -> DataFrame:
+    """doc_id, p (probability of English), band (chunks), quality; of every labelled document."""
+    rows = _decide(FOUND)(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
+    return rows.select("doc_id", "p", chunk_band(F.col("chunks")).alias("band"), "quality")
+
+
+_JUDGED = f""", decided AS (SELECT r.id AS doc_id, round(sum(weight * p), 6) AS p, count(*) AS chunks FROM r GROUP BY r.id),
+judged AS (SELECT doc_id, p, CASE {' '.join(f"WHEN chunks <= {most} THEN '{name}'" for most, name in CHUNK_BANDS)} ELSE 'over 10' END AS band, quality, quality::DOUBLE AS y FROM decided JOIN labels USING (doc_id) WHERE quality IS NOT NULL)"""
+
+
+def q_calibration(spark, d):
+    out = calibration(_judged(spark, d), F.col("p"), F.col("quality"), ["band"])
+    return out.select("band", "n", *[_round(c, c) for c in ("accuracy", "brier", "mae", "ece")])
+
+
+S_CALIBRATION = DOC_SPANS + _ASKED + _JUDGED + """, binned AS (SELECT band, least(9, floor(p * 10)) AS b, count(*) AS n, sum(p) AS sp, sum(y) AS sy FROM judged GROUP BY ALL),
+ece AS (SELECT band, sum(abs(sp - sy)) / sum(n) AS ece FROM binned GROUP BY band)
+SELECT band, count(*) AS n, round(avg(((p >= 0.5) = (y >= 0.5))::INT), 6) AS accuracy, round(avg((p - y) * (p - y)), 6) AS brier, round(avg(abs(p - y)), 6) AS mae, round(any_value(ece), 6) AS ece
+FROM judged JOIN ece USING (band) GROUP BY band"""
+
+
+def q_reliability(spark, d):
+    out = reliability(_judged(spark, d), F.col("p"), F.col("quality"))
+    return out.select(_long("bin"), "n", _round("mean_p", "mean_p"), _round("share", "share"))
+
+
+S_RELIABILITY = DOC_SPANS + _ASKED + _JUDGED + " SELECT least(9, floor(p * 10))::BIGINT AS bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(y), 6) AS share FROM judged GROUP BY ALL"
+
+
+def q_thresholds(spark, d):
+    out = thresholds(_judged(spark, d), F.col("p"), F.col("quality"))
+    return out.select(_long("step"), *[_round(c, c) for c in ("threshold", "precision", "recall", "f1")])
+
+
+S_THRESHOLDS = DOC_SPANS + _ASKED + _JUDGED + """, steps AS (SELECT DISTINCT least(100, floor(p * 100))::BIGINT AS step FROM judged),
+told AS (SELECT step, count(*) FILTER (least(100, floor(p * 100)) >= step) AS called, coalesce(sum(y) FILTER (least(100, floor(p * 100)) >= step), 0) AS hit, sum(y) AS there FROM steps, judged GROUP BY step)
+SELECT step, round(step / 100, 6) AS threshold, round(CASE WHEN called > 0 THEN hit / called ELSE 0 END, 6) AS precision, round(CASE WHEN there > 0 THEN hit / there ELSE 0 END, 6) AS recall,
+  round(CASE WHEN called + there > 0 THEN 2 * hit / (called + there) ELSE 0 END, 6) AS f1 FROM told"""
+
+
+def q_best_threshold(spark, d):
+    out = best_threshold(_judged(spark, d), F.col("p"), F.col("quality"), ["band"])
+    return out.select("band", *[_round(c, c) for c in ("threshold", "precision", "recall", "f1")])
+
+
+S_BEST = DOC_SPANS + _ASKED + _JUDGED + """, steps AS (SELECT DISTINCT band, least(100, floor(p * 100))::BIGINT AS step FROM judged),
+told AS (SELECT band, step, count(*) FILTER (least(100, floor(p * 100)) >= step) AS called, coalesce(sum(y) FILTER (least(100, floor(p * 100)) >= step), 0) AS hit, sum(y) AS there FROM steps JOIN judged USING (band) GROUP BY ALL),
+rated AS (SELECT band, step, step / 100 AS threshold, CASE WHEN called > 0 THEN hit / called ELSE 0 END AS precision, CASE WHEN there > 0 THEN hit / there ELSE 0 END AS recall, CASE WHEN called + there > 0 THEN 2 * hit / (called + there) ELSE 0 END AS f1 FROM told)
+SELECT band, round(threshold, 6) AS threshold, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM rated QUALIFY row_number() OVER (PARTITION BY band ORDER BY f1 DESC, step DESC) = 1"""
+
+
+def q_label_f1(spark, d):
+    """The language called against the true one; all but English and French are "other"."""
+    lang = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.when(F.col("lang").isin("en", "fr"), F.col("lang")).otherwise("other").alias("truth"))
+    out = label_f1(_decide(TOPIC)(spark, d).join(lang, "doc_id"), F.col("value"), F.col("truth"))
+    return out.select("label", "called", "there", *[_round(c, c) for c in ("precision", "recall", "f1", "macro_f1")])
+
+
+S_LABEL_F1 = f"""WITH j AS (SELECT value AS label, CASE WHEN lang IN ('en', 'fr') THEN lang ELSE 'other' END AS truth FROM ({S_DECIDE}) JOIN documents USING (doc_id)),
+l AS (SELECT label FROM j UNION SELECT truth FROM j),
+c AS (SELECT l.label, (SELECT count(*) FROM j WHERE j.label = l.label) AS called, (SELECT count(*) FROM j WHERE truth = l.label) AS there, (SELECT count(*) FROM j WHERE truth = l.label AND j.label = l.label) AS hit FROM l),
+f AS (SELECT label, called, there, CASE WHEN called > 0 THEN hit / called ELSE 0 END AS precision, CASE WHEN there > 0 THEN hit / there ELSE 0 END AS recall, 2 * hit / (called + there) AS f1 FROM c)
+SELECT label, called, there, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, round(avg(f1) OVER (), 6) AS macro_f1 FROM f"""
+
+
+def q_score_errors(spark, d):
+    """Levels from 0 to 3 against 3 for good documents and 0 for others."""
+    rows = _decide(LEVEL)(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
+    out = score_errors(rows, F.col("value"), 3 * F.col("quality"), ["toxic"])
+    return out.select("toxic", "n", *[_round(c, c) for c in ("mae", "rmse", "bias")])
+
+
 # --- failures of requests: models that fail by a text's length, asked about every document
 
 
@@ -661,7 +738,7 @@ ALL = {
     "agreement_ranked_score": (_ranked(LEVEL), S_RANKED),
     "argmax_ties": (q_argmax_ties, S_TIES),
     "decide_documents": (_decide(TOPIC), S_DECIDE),
-    "decide_score": (_decide(LEVEL), _s_decide("round(least(3.0, sum(weight * 3 * p)), 6)", "sum(weight * p)")),
+    "decide_score": (_decide(LEVEL), S_SCORE),
     "decide_anywhere": (_decide(FOUND, "max"), S_ANYWHERE),
     "single_chunk": (q_single_chunk, "SELECT * FROM (" + S_DECIDE + ") WHERE chunks = 1"),
     "decide_corpus": (q_decide_corpus, _s_corpus()),
@@ -672,6 +749,12 @@ ALL = {
     "usage_rollup": (q_usage_rollup, S_USAGE),
     "stream_decide": (q_stream_decide, S_DECIDE),
     "agreement_vs_quality": (q_agreement_vs_quality, "SELECT quality, agreement >= 0.9 AS agreed, count(*) AS n FROM (" + S_DECIDE + ") JOIN labels USING (doc_id) GROUP BY ALL"),
+    "calibration": (q_calibration, S_CALIBRATION),
+    "reliability": (q_reliability, S_RELIABILITY),
+    "f1_thresholds": (q_thresholds, S_THRESHOLDS),
+    "best_threshold": (q_best_threshold, S_BEST),
+    "label_f1": (q_label_f1, S_LABEL_F1),
+    "score_errors": (q_score_errors, "SELECT toxic, count(*) AS n, round(avg(abs(value - 3 * quality)), 6) AS mae, round(sqrt(avg((value - 3 * quality) * (value - 3 * quality))), 6) AS rmse, round(avg(value - 3 * quality), 6) AS bias FROM (" + S_SCORE + ") JOIN labels USING (doc_id) WHERE quality IS NOT NULL GROUP BY toxic"),
     "retry_policy": (q_retry_policy, _s_retry()),
     "too_long_phrases": (q_too_long, _s_too_long()),
     "retry_after": (q_retry_after, S_AFTER),
