@@ -15,10 +15,14 @@ WORD_SPACE = "".join(map(chr, (0x20, 0x9, 0xA, 0xB, 0xC, 0xD, 0x3000)))
 #: Quotes and brackets that may follow a sentence's end.
 CLOSERS = "\"'" + chr(0x201D) + chr(0x2019) + ")\\]"
 _WIDE_ENDS = chr(0x3002) + chr(0xFF01) + chr(0xFF1F)
+#: What ends a sentence, for RE2, which has no possessive quantifiers.
 BREAK = rf"\n+|[.!?]+[{CLOSERS}]*[{BLANK_CLASS}]+|[{_WIDE_ENDS}]+[{CLOSERS}]*[{BLANK_CLASS}]*"
-#: A sentence with what ends it, or the text's last one. Java's and RE2's spelling; Python's end is \Z.
-SENTENCE = rf"[\s\S]*?(?:{BREAK})|[\s\S]+\z"
-SENTENCE_PYTHON = rf"[\s\S]*?(?:{BREAK})|[\s\S]+\Z"
+#: The same ends for Python and Java, in time that grows with the text alone: a run of marks is tried from its start, once.
+#: What follows a run is the same wherever in it a match begins, so no match is lost.
+ENDING = rf"\n++|(?<![.!?])[.!?]++[{CLOSERS}]*+[{BLANK_CLASS}]++|[{_WIDE_ENDS}]++[{CLOSERS}]*+[{BLANK_CLASS}]*+"
+#: A sentence with what ends it, or the text's last one, for RE2 and for Java.
+SENTENCE_RE2 = rf"[\s\S]*?(?:{BREAK})|[\s\S]+\z"
+SENTENCE = rf"[\s\S]*?(?:{ENDING})|[\s\S]+\z"
 #: A word and the spaces after it, or leading spaces.
 ATOM = f"[^{WORD_SPACE}]*[{WORD_SPACE}]+|[^{WORD_SPACE}]+"
 

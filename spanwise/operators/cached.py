@@ -70,6 +70,17 @@ class AnswerCache:
         good = self.rows(question, model).where("problem is null")
         return good.groupBy("key").agg(F.min(F.struct("at", "run", *_ANSWER, "model")).alias("a")).select("key", "a.*")
 
+    def planned(self, chunks: DataFrame, run: str, attempt: int) -> DataFrame:
+        """A run's chunks, written: results read them as long as they are used."""
+        path = f"{self.path}/plans/run={run}/{attempt}"
+        chunks.write.parquet(path)
+        return self.spark.read.schema(chunks.schema).parquet(path)
+
+    def forget_plans(self) -> None:
+        """Removes the plans of all runs, whose results can't be read any more; answers stay."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/plans")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def append(self, rows: DataFrame, question, model: str) -> None:
         rows.select(*T._parse_datatype_string(STORED).names).write.mode("append").parquet(f"{self.path}/asked={self.folder(question, model)}")
 
@@ -139,15 +150,18 @@ def decide_cached(
     pending, passes = good.withColumn("budget", F.lit(budget)), []
     for attempt in range(MAX_REPLANS + 1):
         cut = pending.withColumn("s", plan_chunks(F.col("text"), F.col("budget")))
-        cut = cut.select("id", "budget", F.posexplode(F.transform("s", lambda s: F.struct(s["start"], s["end"], s["weight"], chunk_text(F.col("text"), s).alias("state")))).alias("idx", "c"))
-        chunks = cut.select("id", "idx", "budget", "c.start", "c.end", "c.weight", chunk_key(F.col("c.state")).alias("key"), estimate_tokens(F.col("c.state")).alias("tokens"))
+        state = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["weight"].alias("weight"), chunk_key(chunk_text(F.col("text"), s)).alias("key"), estimate_tokens(chunk_text(F.col("text"), s)).alias("tokens"))
+        cut = cut.select("id", "budget", F.posexplode(F.transform("s", state)).alias("idx", "c")).select("id", "idx", "budget", "c.*")
+        # Planned once; texts stay where they are.
+        chunks = cache.planned(cut, run, attempt)
         # One chunk of each address asks for all; its text travels only if the cache lacks the answer.
-        firsts = chunks.groupBy("key").agg(F.min(F.struct("id", "idx")).alias("f")).select("key", "f.id", "f.idx")
+        firsts = chunks.groupBy("key").agg(F.min(F.struct("id", "idx", "start", "end")).alias("f")).select("key", "f.*")
         known = cache.answers(question, model).select("key")
         failed_now = cache.rows(question, model).where((F.col("run") == run) & F.col("problem").isNotNull()).select("key")
         lacking = firsts.join(known, "key", "left_anti").join(failed_now, "key", "left_anti")
-        states = cut.select("id", "idx", F.col("c.state").alias("state"))
-        told = lacking.join(states, ["id", "idx"]).repartition(parts, "key").select("key", F.lit(run).alias("run"), F.col("id").cast("string").alias("owner"), ask("state").alias("t")).select("key", "run", "owner", "t.*")
+        state = chunk_text(F.col("text"), F.struct("start", "end"))
+        told = good.join(lacking, "id").select("key", F.col("id").cast("string").alias("owner"), state.alias("state")).repartition(parts, "key")
+        told = told.select("key", F.lit(run).alias("run"), "owner", ask("state").alias("t")).select("key", "run", "owner", "t.*")
         cache.append(told, question, model)
         read = cache.answers(question, model)
         failures = cache.rows(question, model).where((F.col("run") == run) & F.col("problem").isNotNull()).select("key", "problem", "too_long", "status")

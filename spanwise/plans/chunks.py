@@ -10,17 +10,19 @@ bisection. Planning is sequential within a text and local to its row: an Arrow U
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
-from itertools import accumulate
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+from functools import lru_cache
+from itertools import accumulate, pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import ATOM, BYTES_PER_TOKEN, SENTENCE_PYTHON
+from ..functions.text import ATOM, BYTES_PER_TOKEN, ENDING, WORD_SPACE
 
 OVERLAP = 0.05
-_SENTENCE = re.compile(SENTENCE_PYTHON)
+_ENDING = re.compile(ENDING)
 _ATOM = re.compile(ATOM)
 PIECE_TYPE = "array<struct<start:int,end:int,bytes:int>>"
 SPAN_TYPE = "array<struct<start:int,end:int,weight:double>>"
@@ -50,23 +52,46 @@ def _gathered(parts: list[str], most: int, out: list[tuple[int, int]]) -> None:
         out.append((chars, size))
 
 
+@lru_cache(maxsize=64)
+def _filled(most: int) -> re.Pattern:
+    """Runs of whole words and their spaces, each as long as ``most`` characters allow."""
+    return re.compile(rf"[\s\S]{{1,{most}}}(?:\Z|(?<=[{WORD_SPACE}])(?![{WORD_SPACE}]))")
+
+
+def _sentences(text: str) -> Iterator[str]:
+    at = 0
+    for m in _ENDING.finditer(text):
+        yield text[at : m.end()]
+        at = m.end()
+    if at < len(text):
+        yield text[at:]
+
+
 def pieces(text: str, most: int) -> list[tuple[int, int]]:
     """(characters, bytes) of the pieces in order."""
     out: list[tuple[int, int]] = []
-    for sentence in _SENTENCE.findall(text):
+    for sentence in _sentences(text):
         n = _bytes(sentence)
         if n <= most:
             out.append((len(sentence), n))
             continue
-        run: list[str] = []
+        if sentence.isascii():
+            ends, filled = [0], _filled(most)
+            while ends[-1] < n and (run := filled.match(sentence, ends[-1])):
+                ends.append(run.end())
+            # A word that is too long for a run stops them: then each word is looked at.
+            if ends[-1] == n:
+                out.extend((b - a, b - a) for a, b in pairwise(ends))
+                continue
+        words: list[str] = []
         for atom in _ATOM.findall(sentence):
             if _bytes(atom) <= most:
-                run.append(atom)
+                words.append(atom)
             else:
-                _gathered(run, most, out)
-                run = []
+                _gathered(words, most, out)
+                words = []
                 _gathered(list(atom), most, out)
-        _gathered(run, most, out)
+        _gathered(words, most, out)
     return out
 
 
@@ -92,14 +117,11 @@ def plan(text: str, max_tokens: int) -> list[tuple[int, int, float]]:
     chars = [0, *accumulate(c for c, _ in parts)]
     sums = [0, *accumulate(b for _, b in parts)]
     best = _packed(sums, limit, overlap)
-    low, high = overlap + 2 * most, limit
-    while len(best) > 1 and low < high:
-        middle = (low + high) // 2
-        trial = _packed(sums, middle, overlap, len(best))
-        if trial is not None and len(trial) == len(best):
-            best, high = trial, middle
-        else:
-            low = middle + 1
+    count, least = len(best), overlap + 2 * most
+    if count > 1 and least < limit:
+        # As few chunks as before, as even as possible: the smallest limit with that count.
+        as_few = lambda size: len(_packed(sums, size, overlap, count) or ()) == count
+        best = _packed(sums, least + bisect_left(range(least, limit), True, key=as_few), overlap)
     covered, out = 0, []
     for first, last in best:
         out.append((chars[first], chars[last + 1], (sums[last + 1] - sums[covered]) / sums[-1]))

@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.answers import RAW_TYPE, read_answer
-from .functions.text import ATOM, BYTES_PER_TOKEN, SENTENCE, estimate_tokens, nonblank, sentences, size_gate, token_count
+from .functions.text import ATOM, BYTES_PER_TOKEN, SENTENCE_RE2, estimate_tokens, nonblank, sentences, size_gate, token_count
 from .operators.cached import AnswerCache, decide_cached
 from .operators.combine import agreement_ranked, combine_rows
 from .operators.decide import MAX_INPUT_TOKENS, ColumnTransport, decide
 from .operators.evaluate import CHUNK_BANDS, best_threshold, calibration, chunk_band, label_f1, reliability, score_errors, thresholds
+from .operators.levels import decide_levels
 from .operators.many import decide_many, unnested
 from .plans.chunks import chunk_text, limits, piece_table, plan_chunks
 from .question import MIN_CHUNK_TOKENS, chunk_tokens, chunk_tokens_column, question_json
@@ -133,13 +134,13 @@ def _quoted(pattern: str) -> str:
 
 
 S_SENTENCES = f"""SELECT doc_id, k - 1 AS k, length(s)::BIGINT AS chars, strlen(s)::BIGINT AS bytes, md5(s) AS digest
-FROM (SELECT doc_id, unnest(a) AS s, generate_subscripts(a, 1) AS k FROM (SELECT doc_id, regexp_extract_all(text, {_quoted(SENTENCE)}) AS a FROM documents))"""
+FROM (SELECT doc_id, unnest(a) AS s, generate_subscripts(a, 1) AS k FROM (SELECT doc_id, regexp_extract_all(text, {_quoted(SENTENCE_RE2)}) AS a FROM documents))"""
 
 
 def pieces_sql(table: str, key: str, text: str, budget: int) -> str:
     """CTEs up to ``piece(id, k, bytes, chars)`` in DuckDB: sentences, words gathered greedily, characters of long words."""
     most = limits(budget)[2]
-    return f"""sentence AS (SELECT id, unnest(a) AS s, generate_subscripts(a, 1) AS si FROM (SELECT {key} AS id, regexp_extract_all({text}, {_quoted(SENTENCE)}) AS a FROM {table})),
+    return f"""sentence AS (SELECT id, unnest(a) AS s, generate_subscripts(a, 1) AS si FROM (SELECT {key} AS id, regexp_extract_all({text}, {_quoted(SENTENCE_RE2)}) AS a FROM {table})),
 atom AS (SELECT id, si, unnest(a) AS w, generate_subscripts(a, 1) AS ai FROM (SELECT id, si, CASE WHEN strlen(s) <= {most} THEN [s] ELSE regexp_extract_all(s, {_quoted(ATOM)}) END AS a FROM sentence)),
 sized AS (SELECT *, strlen(w) > {most} AS big FROM atom),
 run AS (SELECT *, 2 * sum(big::INT) OVER (PARTITION BY id, si ORDER BY ai) - big::INT AS r FROM sized),
@@ -532,6 +533,38 @@ def q_agreement_vs_quality(spark, d):
     return rows.groupBy("quality", (F.col("agreement") >= 0.9).alias("agreed")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def q_decide_levels(spark, d):
+    """Sections of 2,000 tokens, documents, sources of a language, languages, everything."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    rows = decide_levels(docs, FOUND, [["lang", "source"], ["lang"], []], "doc_id", section_tokens=SECTION, transport=keyword(FOUND), max_chunk_tokens=BUDGET)
+    return rows.select(_long("level"), "doc_id", "lang", "source", _round("value", "value"), _round("agreement", "agreement"), "parts", "bytes")
+
+
+SECTION = 2000
+
+
+def _s_levels() -> str:
+    """Averages of levels are averages over all text; how far a level's parts agree is a matter of their pairs."""
+    sections = f"section AS (WITH RECURSIVE {spans_sql('documents', 'doc_id', 'text', SECTION)} SELECT id AS doc_id, idx AS sec, id * 1000 + idx AS sid, weight AS share, substring(text, start + 1, end_ - start) AS part FROM span JOIN documents ON doc_id = id)"
+    asked = _ASKED.replace("substring(text, start", "substring(part, start").replace("documents ON doc_id = id", "section ON sid = id")
+    chunks = f"chunk AS (WITH RECURSIVE {spans_sql('section', 'sid', 'part', BUDGET)}{asked} SELECT id AS sid, sum(weight * p) AS p FROM r GROUP BY id)"
+    level = lambda n, key, of: f"SELECT {n}::BIGINT AS level, {key}, sum(p * bytes) / sum(bytes) AS p, count(*) AS parts, sum(bytes)::BIGINT AS bytes FROM {of} GROUP BY ALL"
+    pairs = lambda key, of: f"SELECT {key}, sum(w1 * w2 * abs(p1 - p2)) / sum(w1 * w2) AS off FROM (SELECT {', '.join('x.' + c for c in key.split(', '))}, x.p AS p1, y.p AS p2, x.w::DOUBLE AS w1, y.w::DOUBLE AS w2 FROM {of} x JOIN {of} y ON {' AND '.join(f'x.{c} IS NOT DISTINCT FROM y.{c}' for c in key.split(', '))} AND x.k < y.k) GROUP BY ALL"
+    return f"""WITH RECURSIVE {sections}, {chunks},
+leaf AS (SELECT doc_id, sec AS k, share AS w, p FROM section JOIN chunk USING (sid)),
+l0 AS (SELECT doc_id, lang, source, sum(w * p) AS p, count(*) AS parts, strlen(any_value(text))::BIGINT AS bytes FROM leaf JOIN documents USING (doc_id) GROUP BY ALL),
+l1 AS ({level(1, "lang, source", "l0")}), l2 AS ({level(2, "lang", "l1")}), l3 AS ({level(3, "0 AS one", "l2")}),
+p0 AS ({pairs("doc_id", "leaf")}),
+p1 AS ({pairs("lang, source", "(SELECT lang, source, doc_id AS k, p, bytes AS w FROM l0)")}),
+p2 AS ({pairs("lang", "(SELECT lang, row_number() OVER () AS k, p, bytes AS w FROM l1)")}),
+p3 AS ({pairs("one", "(SELECT 0 AS one, row_number() OVER () AS k, p, bytes AS w FROM l2)")}),
+found AS (SELECT 0::BIGINT AS level, doc_id, lang, source, p, off, parts, bytes FROM l0 LEFT JOIN p0 USING (doc_id)
+UNION ALL SELECT level, NULL, l1.lang, l1.source, p, off, parts, bytes FROM l1 LEFT JOIN p1 ON l1.lang IS NOT DISTINCT FROM p1.lang AND l1.source IS NOT DISTINCT FROM p1.source
+UNION ALL SELECT level, NULL, l2.lang, NULL, p, off, parts, bytes FROM l2 LEFT JOIN p2 ON l2.lang IS NOT DISTINCT FROM p2.lang
+UNION ALL SELECT level, NULL, NULL, NULL, p, off, parts, bytes FROM l3, p3)
+SELECT level, doc_id, lang, source, round(least(1.0, p), 6) AS value, round(coalesce(1 - off, 1.0), 6) AS agreement, parts, bytes FROM found"""
+
+
 # --- decisions against labels
 
 
@@ -742,6 +775,7 @@ ALL = {
     "decide_anywhere": (_decide(FOUND, "max"), S_ANYWHERE),
     "single_chunk": (q_single_chunk, "SELECT * FROM (" + S_DECIDE + ") WHERE chunks = 1"),
     "decide_corpus": (q_decide_corpus, _s_corpus()),
+    "decide_levels": (q_decide_levels, _s_levels()),
     "rpc_decide": (q_rpc_decide, S_DECIDE),
     "decide_many": (_many(), _s_many()),
     "rpc_decide_many": (_many(_fake_many), _s_many()),
