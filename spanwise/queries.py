@@ -5,8 +5,6 @@ The model is the column transport of ``keyword``: it counts two word lists in a
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,11 +17,14 @@ from .operators.decide import MAX_INPUT_TOKENS, ColumnTransport, decide
 from .operators.evaluate import CHUNK_BANDS, best_threshold, calibration, chunk_band, label_f1, reliability, score_errors, thresholds
 from .operators.levels import decide_levels
 from .operators.many import decide_many, unnested
+from .operators.observe import observed
+from .operators.reducers import AGREEMENT_FLOOR, AGREEMENT_POWER, CONFIDENCE_CAP, REDUCERS, SATURATION, adjusted_confidence, agreement_rows, agreement_with, answer_of, base_confidence, effective_chunks, majority, reduce_probs
 from .plans.chunks import chunk_text, limits, piece_table, plan_chunks
 from .question import MIN_CHUNK_TOKENS, chunk_tokens, chunk_tokens_column, question_json
 from .shared import fresh_folder
 from .shipping import ship
 from .sources.http import HttpError, effective_status, retry_after
+from .sql import register
 from .streaming import decide_stream, run_available
 
 BUDGET = 500
@@ -65,9 +66,11 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _spans(spark: SparkSession, d: str, budget: int = BUDGET) -> DataFrame:
+    """doc_id, idx, s (start, end, weight), state: chunks are cut out within the row, so that no row carries the whole text."""
     ship(spark)
     planned = _docs(spark, d).withColumn("spans", plan_chunks(F.col("text"), budget))
-    return planned.select("doc_id", "text", F.posexplode("spans").alias("idx", "s"))
+    cut = F.transform("spans", lambda s: F.struct(s.alias("s"), chunk_text(F.col("text"), s).alias("state")))
+    return planned.select("doc_id", F.posexplode(cut).alias("idx", "c")).select("doc_id", "idx", "c.*")
 
 
 def _long(c: str, name: str | None = None) -> Column:
@@ -108,17 +111,19 @@ def q_nonblank(spark, d):
 S_NONBLANK = """WITH t AS (SELECT conv_id, text FROM conversations UNION ALL SELECT * FROM (VALUES (-1, ''), (-2, ' ' || chr(10) || ' '), (-3, chr(160) || chr(65279)), (-4, chr(133)), (-5, NULL)) v(conv_id, text))
 SELECT conv_id, ok, count(*) AS n FROM (SELECT conv_id, coalesce(regexp_matches(text, '[^{blank}]'), false) AS ok FROM t) GROUP BY ALL"""
 
-_QUESTIONS = [question_json(q) for q in (TOPIC, LEVEL, FOUND)] + [question_json(FOUND | {"instructions": "x" * n}) for n in (92_000, 92_628, 92_640, 100_000)]
+#: A document, so many times over (by its id), as the instructions of a question: up to well beyond the window.
+_TIMES = 60
+_AROUND = question_json(FOUND | {"instructions": "|"}).split("|")
 
 
 def q_question_budget(spark, d):
-    rows = spark.createDataFrame(list(enumerate(_QUESTIONS)), "id long, q string")
-    return rows.select("id", chunk_tokens_column(F.col("q")).cast("long").alias("budget"))
+    text = F.translate(F.coalesce("text", F.lit("")), '\\"\n\r\t', "     ")
+    question = F.concat(F.lit(_AROUND[0]), F.repeat(text, (F.col("doc_id") % _TIMES).cast("int")), F.lit(_AROUND[1]))
+    return _docs(spark, d).select("doc_id", chunk_tokens_column(question).cast("long").alias("budget"))
 
 
-def _s_budget() -> str:
-    sizes = ", ".join(f"({i}, {len(q.encode())})" for i, q in enumerate(_QUESTIONS))
-    return f"""SELECT id::BIGINT AS id, CASE WHEN t >= 1000 THEN t END AS budget FROM (SELECT id, floor((32000 - ceil(n / 3.0)) * 0.9::DOUBLE)::BIGINT AS t FROM (VALUES {sizes}) v(id, n))"""
+S_BUDGET = f"""SELECT doc_id, CASE WHEN t >= 1000 THEN t END AS budget
+FROM (SELECT doc_id, floor((32000 - ceil(({len("".join(_AROUND).encode())} + strlen(coalesce(text, '')) * (doc_id % {_TIMES})) / 3.0)) * 0.9::DOUBLE)::BIGINT AS t FROM documents)"""
 
 
 # --- chunk plans
@@ -235,10 +240,10 @@ S_INVARIANTS = "SELECT doc_id, true AS starts, true AS ends, true AS fits, true
 
 
 def q_chunk_overlap(spark, d):
-    rows = _spans(spark, d).select("doc_id", "idx", F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("t"), "s.start", "s.end", "text")
+    rows = _spans(spark, d).select("doc_id", "idx", "state", "s.start", "s.end")
     before = F.lag("end").over(Window.partitionBy("doc_id").orderBy("idx"))
-    rows = rows.withColumn("shared", F.octet_length(F.substring(F.col("text"), F.col("start") + 1, before - F.col("start"))))
-    return rows.select("doc_id", _long("idx"), F.coalesce("shared", F.lit(0)).cast("long").alias("shared"), estimate_tokens(F.col("t")).alias("tokens"))
+    rows = rows.withColumn("shared", F.octet_length(F.substring(F.col("state"), F.lit(1), before - F.col("start"))))
+    return rows.select("doc_id", _long("idx"), F.coalesce("shared", F.lit(0)).cast("long").alias("shared"), estimate_tokens(F.col("state")).alias("tokens"))
 
 
 S_OVERLAP = DOC_SPANS + """
@@ -247,7 +252,7 @@ FROM (SELECT *, lag(end_) OVER (PARTITION BY id ORDER BY idx) AS before FROM spa
 
 
 def q_chunk_state(spark, d):
-    return _spans(spark, d).select("doc_id", _long("idx"), F.md5(chunk_text(F.col("text"), F.col("s"))).alias("digest"))
+    return _spans(spark, d).select("doc_id", _long("idx"), F.md5("state").alias("digest"))
 
 
 S_STATE = DOC_SPANS + "\nSELECT id AS doc_id, idx, md5(substring(text, start + 1, end_ - start)) AS digest FROM span JOIN documents ON doc_id = id"
@@ -255,47 +260,64 @@ S_STATE = DOC_SPANS + "\nSELECT id AS doc_id, idx, md5(substring(text, start + 1
 
 # --- reading answers
 
-_RAW: dict[str, list[tuple[dict, str]]] = {
+#: What a model says of a document, by the document's length: JSON in which P and Q stand for a probability and the rest to 1,
+#: and what is to be read: a problem, or null.
+_SAID: dict[str, list[tuple[str, str | None]]] = {
     "choice": [
-        ({"type": "choice", "choice": "en", "probabilities": {"en": 0.6, "fr": 0.33, "other": 0.06}, "confidence": 0.7}, "0.606061;0.333333;0.060606;0.7"),
-        ({"type": "choice", "choice": "fr", "probabilities": {"fr": 1.0}}, "0.0;1.0;0.0;-"),
-        ({"type": "score", "choice": "fr", "probabilities": {"fr": 1.0}}, "expected a choice answer"),
-        ({"type": "choice", "choice": "de", "probabilities": {"fr": 1.0}}, "the choice is not one of the options"),
-        ({"type": "choice", "choice": "fr"}, "the probabilities are missing"),
-        ({"type": "choice", "choice": "fr", "probabilities": {"de": 1.0}}, "a probability is for an unknown option"),
-        ({"type": "choice", "choice": "fr", "probabilities": {"fr": 1.2, "en": -0.2}}, "a probability is not between 0 and 1"),
-        ({"type": "choice", "choice": "fr", "probabilities": {"fr": 0.5}}, "the probabilities do not sum to 1"),
-        ({"type": "choice", "choice": "fr", "probabilities": {"fr": 1.0}, "confidence": 1.5}, "confidence is not between 0 and 1"),
+        ('{"type":"choice","choice":"en","probabilities":{"en":P,"fr":Q},"confidence":P}', None),
+        ('{"type":"choice","choice":"fr","probabilities":{"en":P,"other":Q}}', None),
+        ('{"type":"choice","choice":"fr","probabilities":{"fr":1.0},"confidence":0.7}', None),
+        ('{"type":"score","choice":"fr","probabilities":{"fr":1.0}}', "expected a choice answer"),
+        ('{"type":"choice","choice":"de","probabilities":{"en":P,"fr":Q}}', "the choice is not one of the options"),
+        ('{"type":"choice","choice":"fr"}', "the probabilities are missing"),
+        ('{"type":"choice","choice":"fr","probabilities":{"en":P,"de":Q}}', "a probability is for an unknown option"),
+        ('{"type":"choice","choice":"fr","probabilities":{"en":1.2,"fr":-0.2}}', "a probability is not between 0 and 1"),
+        ('{"type":"choice","choice":"fr","probabilities":{"fr":0.5}}', "the probabilities do not sum to 1"),
+        ('{"type":"choice","choice":"fr","probabilities":{"en":P,"fr":Q},"confidence":1.5}', "confidence is not between 0 and 1"),
+        ("not an answer", "expected a choice answer"),
     ],
     "score": [
-        ({"type": "score", "score": 2.5, "probabilities": {"2": 0.5, "3": 0.5}}, "0.0;0.0;0.5;0.5;2.5"),
-        ({"type": "score", "score": 3.0000005, "probabilities": {"3": 1.0}, "confidence": 1.0}, "0.0;0.0;0.0;1.0;3.0"),
-        ({"type": "score", "score": 7.0, "probabilities": {"3": 1.0}}, "the score is outside the rubric"),
+        ('{"type":"score","score":P,"probabilities":{"0":Q,"1":P},"confidence":Q}', None),
+        ('{"type":"score","score":3.0000005,"probabilities":{"3":1.0}}', None),
+        ('{"type":"score","score":-0.0000005,"probabilities":{"0":1.05}}', "a probability is not between 0 and 1"),
+        ('{"type":"score","score":7.0,"probabilities":{"3":1.0}}', "the score is outside the rubric"),
+        ('{"type":"score","probabilities":{"0":Q,"1":P}}', "the score is outside the rubric"),
+        ('{"type":"noul","noul":P}', "expected a score answer"),
     ],
     "noul": [
-        ({"type": "noul", "noul": 0.75}, "0.25;0.75;0.75"),
-        ({"type": "noul", "noul": 1.3}, "noul is not between 0 and 1"),
-        ({"type": "choice"}, "expected a noul answer"),
+        ('{"type":"noul","noul":P}', None),
+        ('{"type":"noul","noul":1.0000005,"confidence":7}', None),
+        ('{"type":"noul","noul":1.3}', "noul is not between 0 and 1"),
+        ('{"type":"noul"}', "noul is not between 0 and 1"),
+        ('{"type":"choice"}', "expected a noul answer"),
     ],
 }
 _BY_KIND = {"choice": TOPIC, "score": LEVEL, "noul": FOUND}
+#: What is read of each good answer, as SQL over p and q = 1 - p: (value, label, last probability, confidence).
+_READ = {"choice": {0: ("NULL", "'en'", "0.0", "p"), 1: ("NULL", "'fr'", "q", "NULL"), 2: ("NULL", "'fr'", "0.0", "0.7")}, "score": {0: ("p", "NULL", "0.0", "q"), 1: ("3.0", "NULL", "1.0", "NULL")}, "noul": {0: ("p", "NULL", "p", "NULL"), 1: ("1.0", "NULL", "1.0", "NULL")}}
 
 
 def _read(kind: str):
+    said = _SAID[kind]
+
     def query(spark, d):
-        rows = spark.createDataFrame([(i, json.dumps(r)) for i, (r, _) in enumerate(_RAW[kind])], "id long, raw string")
-        a = read_answer(_BY_KIND[kind], F.from_json("raw", RAW_TYPE))
-        rows = rows.select("id", a.alias("a"))
-        last = {"choice": F.coalesce(F.col("a.confidence").cast("string"), F.lit("-")), "score": F.col("a.value").cast("string"), "noul": F.col("a.value").cast("string")}[kind]
-        shown = F.concat_ws(";", F.transform("a.probs", lambda p: F.round(p, 6).cast("string")), last)
-        return rows.select("id", F.coalesce("a.problem", shown).alias("said"))
+        p = (F.length("text") % 65) / 64
+        text = F.get(F.array(*[F.lit(j) for j, _ in said]), (F.length("text") % len(said)).cast("int"))
+        for name, value in (("P", p), ("Q", 1 - p)):
+            text = F.replace(text, F.lit(name), value.cast("string"))
+        a = read_answer(_BY_KIND[kind], F.from_json(text, RAW_TYPE))
+        rows = _docs(spark, d).where("text is not null").select("doc_id", a.alias("a"))
+        return rows.select("doc_id", F.col("a.problem").alias("problem"), _round("a.value", "value"), F.col("a.label").alias("label"), F.round(F.element_at("a.probs", -1), 6).alias("last"), _round("a.confidence", "confidence"))
 
     return query
 
 
 def _s_read(kind: str) -> str:
-    values = ", ".join(f"({i}, {_quoted(x)})" for i, (_, x) in enumerate(_RAW[kind]))
-    return f"SELECT id::BIGINT AS id, said FROM (VALUES {values}) v(id, said)"
+    said, read = _SAID[kind], _READ[kind]
+    problem = " ".join(f"WHEN {i} THEN {_quoted(x)}" for i, (_, x) in enumerate(said) if x)
+    column = lambda k: " ".join(f"WHEN {i} THEN {x[k]}" for i, x in read.items())
+    return f"""SELECT doc_id, CASE k {problem} END AS problem, round((CASE k {column(0)} END)::DOUBLE, 6) AS value, (CASE k {column(1)} END)::VARCHAR AS label, round((CASE k {column(2)} END)::DOUBLE, 6) AS last, round((CASE k {column(3)} END)::DOUBLE, 6) AS confidence
+FROM (SELECT doc_id, length(text) % {len(said)} AS k, (length(text) % 65) / 64 AS p, 1 - (length(text) % 65) / 64 AS q FROM documents WHERE text IS NOT NULL)"""
 
 
 # --- asking and combining
@@ -352,12 +374,24 @@ S_RANKED = f"WITH {_TURNS} SELECT i.id, round(coalesce(agreement, 1.0), 6) AS ag
 
 
 def q_argmax_ties(spark, d):
-    rows = spark.createDataFrame([(1, 0, 0.5, "fr", [0.0, 1.0, 0.0]), (1, 1, 0.5, "en", [1.0, 0.0, 0.0]), (2, 0, 0.75, "other", [0.1, 0.1, 0.8]), (2, 1, 0.25, "en", [0.6, 0.2, 0.2]), (3, 0, 1.0, "other", [0.5, 0.5, 0.0])], "id long, idx int, weight double, label string, probs array<double>")
-    rows = rows.withColumns({"value": F.lit(None).cast("double"), "confidence": F.when(F.col("idx") == 0, 0.8)})
-    return combine_rows(rows, TOPIC).select("id", "label", "confidence", _round("agreement", "agreement"))
+    """Turns of even length are certain of English, others of French, all with one weight: many conversations tie."""
+    turns = spark.read.parquet(f"{d}/conversations.parquet").where("text <> ''")
+    even = F.length("text") % 2 == 0
+    one, zero, each = F.lit(1.0), F.lit(0.0), Window.partitionBy("conv_id")
+    rows = turns.select(
+        F.col("conv_id").alias("id"),
+        F.col("turn").alias("idx"),
+        (1 / F.count(F.lit(1)).over(each)).alias("weight"),
+        F.lit(None).cast("double").alias("value"),
+        F.when(even, "en").otherwise("fr").alias("label"),
+        F.when(even, F.array(one, zero, zero)).otherwise(F.array(zero, one, zero)).alias("probs"),
+        F.when(F.length("text") % 50 > 0, 0.8).alias("confidence"),
+    )
+    return combine_rows(rows, TOPIC).select("id", "label", _round("confidence", "confidence"), _round("agreement", "agreement"))
 
 
-S_TIES = "SELECT * FROM (VALUES (1::BIGINT, 'en', NULL::DOUBLE, 0.0::DOUBLE), (2, 'other', NULL, 0.4), (3, 'other', 0.8, 1.0)) v(id, label, confidence, agreement)"
+S_TIES = """SELECT id, CASE WHEN en >= fr THEN 'en' ELSE 'fr' END AS label, CASE WHEN sure = en + fr THEN 0.8::DOUBLE END AS confidence, CASE WHEN en + fr > 1 THEN round(1 - en * fr / ((en + fr) * (en + fr - 1) / 2), 6) ELSE 1.0 END::DOUBLE AS agreement
+FROM (SELECT conv_id AS id, count(*) FILTER (length(text) % 2 = 0) AS en, count(*) FILTER (length(text) % 2 = 1) AS fr, count(*) FILTER (length(text) % 50 > 0) AS sure FROM conversations WHERE text <> '' GROUP BY conv_id)"""
 
 
 # --- whole decisions
@@ -370,7 +404,7 @@ agreed AS (SELECT id, CASE WHEN w > 0 THEN least(1.0, greatest(0.0, 1 - d / w))
 
 def _asked(question):
     def query(spark, d):
-        a = read_answer(question, keyword(question).function(chunk_text(F.col("text"), F.col("s"))))
+        a = read_answer(question, keyword(question).function(F.col("state")))
         rows = _spans(spark, d).select("doc_id", _long("idx"), a.alias("a"))
         return rows.select("doc_id", "idx", F.coalesce("a.label", F.round("a.value", 6).cast("string")).alias("value"), F.round(F.element_at("a.probs", -1 if question["type"] != "choice" else 1), 6).alias("p"))
 
@@ -565,6 +599,60 @@ UNION ALL SELECT level, NULL, NULL, NULL, p, off, parts, bytes FROM l3, p3)
 SELECT level, doc_id, lang, source, round(least(1.0, p), 6) AS value, round(coalesce(1 - off, 1.0), 6) AS agreement, parts, bytes FROM found"""
 
 
+# --- other reducers and signals
+
+#: Of the first quarter of weight.
+QUARTER = 0.25
+
+
+def q_reduced(spark, d):
+    """Every reducer's label and first probability, of each document."""
+    rows = decide(_docs(spark, d), TOPIC, transport=keyword(TOPIC), max_chunk_tokens=BUDGET)
+    chunks = F.col("result.chunks")
+    found = {how: reduce_probs(TOPIC, chunks, how, QUARTER) for how in REDUCERS} | {"majority": majority(TOPIC, chunks), "majority_by_head": majority(TOPIC, chunks, by_weight=False)}
+    rows = rows.select("doc_id", F.inline(F.array(*[F.struct(F.lit(how).alias("how"), p.alias("probs")) for how, p in found.items()])))
+    return rows.select("doc_id", "how", answer_of(TOPIC, F.col("probs")).alias("label"), F.round(F.get("probs", F.lit(0)), 6).alias("p"))
+
+
+S_REDUCED = DOC_SPANS + _ASKED + f""", q AS (SELECT id, weight, p, 1 - p AS q, sum(weight) OVER (PARTITION BY id ORDER BY p, weight ROWS UNBOUNDED PRECEDING) AS wp, sum(weight) OVER (PARTITION BY id ORDER BY 1 - p, weight ROWS UNBOUNDED PRECEDING) AS wq, (p >= 1 - p)::INT AS vote FROM r),
+g AS (SELECT id, sum(weight * p) AS mean_w, avg(p) AS mean_, median(p) AS median_, min(p) AS low, max(p) AS high, min(p) FILTER (wp >= {QUARTER} - 1e-12) AS pp, min(q) FILTER (wq >= {QUARTER} - 1e-12) AS pq, sum(weight * vote) AS votes, avg(vote) AS heads FROM q GROUP BY id),
+found AS (SELECT id, 'weighted_mean' AS how, mean_w AS a, 1 - mean_w AS b FROM g UNION ALL SELECT id, 'mean', mean_, 1 - mean_ FROM g UNION ALL SELECT id, 'median', median_, 1 - median_ FROM g UNION ALL SELECT id, 'min', low, 1 - high FROM g
+UNION ALL SELECT id, 'max', high, 1 - low FROM g UNION ALL SELECT id, 'percentile', pp, pq FROM g UNION ALL SELECT id, 'majority', votes, 1 - votes FROM g UNION ALL SELECT id, 'majority_by_head', heads, 1 - heads FROM g)
+SELECT id AS doc_id, how, CASE WHEN a >= b - 1e-12 THEN 'en' ELSE 'fr' END AS label, round(a / (a + b), 6) AS p FROM found"""
+
+
+def q_signals(spark, d):
+    """Agreement with the average, effective chunks, and confidence before and after, of each document."""
+    rows = decide(_docs(spark, d), TOPIC, transport=keyword(TOPIC), max_chunk_tokens=BUDGET)
+    chunks, probs = F.col("result.chunks"), F.col("result.probs")
+    rows = rows.select("doc_id", agreement_with(chunks, probs).alias("agreement"), effective_chunks(chunks).alias("effective"), base_confidence(TOPIC, chunks, probs).alias("base"))
+    rows = rows.withColumn("adjusted", adjusted_confidence(F.col("base"), F.col("effective"), F.col("agreement")))
+    return rows.select("doc_id", *[_round(c, c) for c in ("agreement", "effective", "base", "adjusted")])
+
+
+S_SIGNALS = DOC_SPANS + _ASKED + f""", m AS (SELECT id, sum(weight * p) AS p, sum(weight) / max(weight) AS effective FROM r GROUP BY id),
+a AS (SELECT id, any_value(effective) AS effective, least(1.0, greatest(0.0, 1 - sum(weight * abs(r.p - m.p)))) AS agreement FROM r JOIN m USING (id) GROUP BY id)
+SELECT id AS doc_id, round(agreement, 6) AS agreement, round(effective, 6) AS effective, 0.9::DOUBLE AS base,
+  round(0.9 + ({CONFIDENCE_CAP} - 0.9) * (1 - exp(-{SATURATION} * (effective - 1))) * pow(least(1.0, greatest(0.0, (agreement - {AGREEMENT_FLOOR}) / (1 - {AGREEMENT_FLOOR}))), {AGREEMENT_POWER}), 6) AS adjusted FROM a"""
+
+
+def q_agreement_average(spark, d):
+    return agreement_rows(_answers(spark, d, TOPIC), TOPIC).select("id", _round("agreement", "agreement"))
+
+
+S_AGREEMENT_AVERAGE = f"WITH {_TURNS}, m AS (SELECT id, sum(weight * p) AS mean_p FROM r GROUP BY id) SELECT id, round(1 - sum(weight * abs(p - mean_p)), 6) AS agreement FROM r JOIN m USING (id) GROUP BY id"
+
+
+def q_chunks_function(spark, d):
+    register(spark)
+    _docs(spark, d).createOrReplaceTempView("chunked_documents")
+    rows = spark.sql(f"SELECT doc_id, c.* FROM chunked_documents, LATERAL chunks(text, {BUDGET}) c")
+    return rows.select("doc_id", _long("idx"), _long("start"), _long("end", "end_"), _round("weight", "weight"), F.md5("state").alias("digest"))
+
+
+S_CHUNKS = DOC_SPANS + "\nSELECT id AS doc_id, idx, start, end_, round(weight, 6) AS weight, md5(substring(text, start + 1, end_ - start)) AS digest FROM span JOIN documents ON doc_id = id"
+
+
 # --- decisions against labels
 
 
@@ -664,6 +752,20 @@ def q_retry_policy(spark, d):
     return _answered(spark, d, _failing).select("doc_id", "code", "status", "requests")
 
 
+def q_run_counters(spark, d):
+    """The counters of a run in which most models fail, without a second pass over it."""
+    rows, counters = observed(decide(_docs(spark, d), TOPIC, transport=_failing, on_error="column"))
+    rows.write.format("noop").mode("overwrite").save()
+    told = counters.get
+    names = ("inputs", "answered", "chunks", "requests", "input_tokens", "invalid_request", "input_too_large", "request_failed")
+    return spark.createDataFrame([(n, int(told[n])) for n in names], "name string, n long")
+
+
+def _s_counters() -> str:
+    return f"""WITH t AS (SELECT count(*) AS inputs, count(*) FILTER (code IS NULL) AS answered, sum(requests) AS requests FROM ({_s_retry()}))
+SELECT unnest(['inputs', 'answered', 'chunks', 'requests', 'input_tokens', 'invalid_request', 'input_too_large', 'request_failed']) AS name, unnest([inputs, answered, answered, requests, 100 * answered, 0, 0, inputs - answered])::BIGINT AS n FROM t"""
+
+
 def _listed(values) -> str:
     return "[" + ", ".join("NULL" if v is None else str(v) for v in values) + "]"
 
@@ -748,7 +850,7 @@ ALL = {
     "estimate_tokens": (q_estimate_tokens, S_ESTIMATE),
     "input_size_gate": (q_size_gate, S_SIZE),
     "nonblank_gate": (q_nonblank, _blank()),
-    "question_budget": (q_question_budget, _s_budget()),
+    "question_budget": (q_question_budget, S_BUDGET),
     "split_sentences": (q_split_sentences, S_SENTENCES),
     "split_long_words": (lambda s, d: _pieces(s, d, BUDGET), _s_pieces(BUDGET)),
     "split_anywhere": (lambda s, d: _pieces(s, d, 60), _s_pieces(60)),
@@ -783,6 +885,11 @@ ALL = {
     "usage_rollup": (q_usage_rollup, S_USAGE),
     "stream_decide": (q_stream_decide, S_DECIDE),
     "agreement_vs_quality": (q_agreement_vs_quality, "SELECT quality, agreement >= 0.9 AS agreed, count(*) AS n FROM (" + S_DECIDE + ") JOIN labels USING (doc_id) GROUP BY ALL"),
+    "reduced_answers": (q_reduced, S_REDUCED),
+    "confidence_signals": (q_signals, S_SIGNALS),
+    "agreement_with_average": (q_agreement_average, S_AGREEMENT_AVERAGE),
+    "chunks_function": (q_chunks_function, S_CHUNKS),
+    "run_counters": (q_run_counters, _s_counters()),
     "calibration": (q_calibration, S_CALIBRATION),
     "reliability": (q_reliability, S_RELIABILITY),
     "f1_thresholds": (q_thresholds, S_THRESHOLDS),
