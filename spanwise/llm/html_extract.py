@@ -14,13 +14,16 @@ that keeps what it has. Inside an article, names like ``entry-header`` or ``post
 only a name that is the word itself does.
 
 Rows are independent: one ``mapInArrow`` over (keys, html), no shuffle. Null or empty html, and pages
-without text, give an empty string; repeated rows are extracted each; pages of any length are read whole. Extra columns pass through only if named in ``keep``.
+without text, give an empty string; repeated rows are extracted each; pages of any length are read whole, in
+time that grows with them, broken markup included (after BROKEN tags without an end the rest is text). Extra columns pass through only if named in ``keep``.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
+from collections.abc import Iterator
 from itertools import groupby
 
 import pyarrow as pa
@@ -55,11 +58,60 @@ _LAYOUT = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without|layout|page|body|site
 #: Noise names that inside an article must be a whole class name.
 _WEAK = re.compile(r"(?:header|masthead|banner|side|menu|tags|alert|skip|pager|widget|toolbar|reply|replies|social|related|footer)", re.I)
 _CONTENT = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|content|main)(?:$|[\s_-](?:body|content|text)?)", re.I)
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A comment, a CDATA section, a declaration, or the beginning of a tag.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)", re.S)
+_NAME = re.compile(r"[^\s/>]*+")
+_SWALLOWS = re.compile(r"<!--|<!\[CDATA\[")
+_TAG_PART = re.compile(r"[>\"']")
+#: Tags that no > outside quotes ends, after which the rest of a page is text.
+BROKEN = 64
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _BLANK = re.compile(r"\s+")
 
 
+def _tag_end(page: str, at: int) -> int:
+    """The place after the > that ends a tag, quoted ones aside; -1 if none does."""
+    while m := _TAG_PART.search(page, at):
+        if m[0] == ">":
+            return m.end()
+        at = page.find(m[0], m.end()) + 1
+        if not at:
+            return -1
+    return -1
+
+
+def _tokens(page: str) -> Iterator[tuple[str, str, str, str, int]]:
+    """(text before, what: "tag", "text" or "", closing slash, name and attributes, end) of every piece of markup, then the rest.
+
+    A tag's name and attributes are one string; where to go on after a tag is sent back. Time grows with the page alone: every < is looked at once, and
+    only BROKEN tags may look for an end that isn't there.
+    """
+    at, text, last, broken = 0, 0, page.rfind(">"), 0
+    while True:
+        at = page.find("<", at)
+        if at < 0 or at > last or broken >= BROKEN:
+            break
+        m = _TOKEN.match(page, at)
+        if not m:
+            at += 1
+            continue
+        if m[2] is None:
+            yield page[text:at], "text" if m[0].startswith("<![CDATA[") else "", "", m[0][9:].removesuffix("]]>"), m.end()
+            at = text = m.end()
+            continue
+        end = _tag_end(page, m.end())
+        if end < 0:
+            broken += 1
+            at += 1
+            continue
+        at = text = yield page[text:at], "tag", m[1], page[m.start(2) : end - 1], end
+    # What begins after the last > and has no end: a comment swallows the rest, a section of text is text.
+    if m := _SWALLOWS.search(page, text):
+        yield page[text : m.start()], "text" if m[0] != "<!--" else "", "", page[m.end() :], len(page)
+    else:
+        yield page[text:], "", "", "", len(page)
+
+
 def _is_noise(names: str, inside: bool) -> bool:
     """Whether class names and id tell of noise; ``inside`` an article weak words count only alone."""
     for m in _NOISE.finditer(_LAYOUT.sub("", names)):
@@ -104,38 +156,40 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
         parts.clear()
         linked, blank = 0, True
 
-    at, n = 0, len(page)
-    while at < n:
-        m = _TOKEN.search(page, at)
-        piece = page[at : m.start() if m else n]
+    opened: Counter[str] = Counter()
+    n, tokens, after = len(page), _tokens(page), None
+    while True:
+        try:
+            piece, what, slash, body, at = tokens.send(after)
+        except StopIteration:
+            break
+        after = None
         if piece:
             if blank and piece.strip():
                 state, blank = (noise > 0, content > 0), False
             parts.append(piece)
             if links:
                 linked += len(piece.strip())
-        if not m:
-            break
-        at = m.end()
-        if m[0].startswith("<![CDATA["):
-            parts.append(m[0][9:].removesuffix("]]>"))
-            continue
-        if m[2] is None:
+        if what == "text":
+            parts.append(body)
+        if what != "tag":
             continue
-        tag, closing = m[2].lower(), m[1] == "/"
+        after = at
+        name = _NAME.match(body)[0]
+        tag, closing, attributes = name.lower(), slash == "/", body[len(name) :]
         if tag == "br":
             parts.append(" ")
             continue
         if tag in _RAW and not closing:
             if tag == "title":
                 flush()
-            if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else n
+            if not attributes.rstrip().endswith("/"):
+                end = re.compile(rf"</{re.escape(tag)}\s*+>", re.I).search(page, at)
+                after = end.end() if end else n
             continue
         if tag in _BREAKING:
             flush()
-        if tag in _VOID or m[3].rstrip().endswith("/") and not closing:
+        if tag in _VOID or attributes.rstrip().endswith("/") and not closing:
             continue
         if not closing:
             if tag == "header" and not content:
@@ -143,17 +197,19 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
             elif tag == "body":
                 # whatever is left open in the head ends here
                 open_tags, noise, content, links = [], 0, 0, 0
+                opened.clear()
                 is_noise, is_content = False, False
             else:
-                is_noise, is_content = _marks(tag, m[3], content > 0)
+                is_noise, is_content = _marks(tag, attributes, content > 0)
             if is_noise or is_content or tag in ("a", "div", "section", "article", "main", "td", "header", "ul", "ol", "table", "span", *_DROPPED):
                 if is_noise:
                     flush()
                 open_tags.append((tag, int(is_noise), int(is_content)))
+                opened[tag] += 1
                 noise += is_noise
                 content += is_content
                 links += tag == "a"
-        else:
+        elif opened[tag]:
             for k in range(len(open_tags) - 1, -1, -1):
                 if open_tags[k][0] == tag:
                     if any(x[1] for x in open_tags[k:]):
@@ -162,6 +218,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
                         noise -= a
                         content -= b
                         links -= t == "a"
+                        opened[t] -= 1
                     del open_tags[k:]
                     break
     flush()

@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, written
+from .common import discard, let, written
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -235,8 +235,11 @@ def train(voted_rows: DataFrame) -> tuple[float, list[float]]:
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
     """Every row with ``spans``: array<struct<k, s, e>>, base kinds first in their order, then the method's, each by place."""
     rows = candidates(base_spans(docs, text))
-    seen = written(rows.where(F.size("_candidates") > 0).select(F.explode("_candidates").alias("x")).select("x.t", "x.c"), "pii-candidates")
-    intercept, weights = train(voted(seen))
+    # Only votes and features are written: what may be a secret stays in its text.
+    seen = rows.where(F.size("_candidates") > 0).select(F.explode("_candidates").alias("x")).select("x.t", "x.c")
+    votes = written(voted(seen), "pii-votes")
+    intercept, weights = train(votes)
+    discard(votes)
 
     def private(x: Column) -> Column:
         t, c = x["t"], x["c"]

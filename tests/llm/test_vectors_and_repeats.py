@@ -2,14 +2,17 @@
 
 import hashlib
 import math
+import os
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from spanwise.llm import clustering, negatives, repeats
+from spanwise.llm import clustering, html_extract, negatives, pii, repeats
+from spanwise.llm.common import shared_dir
 
 VECTORS = "vec_id long, embedding array<double>, label int, id string, x int, label_ long"
 
@@ -213,3 +216,25 @@ def test_bounds_of_groups_change_nothing(monkeypatch, slice_, longest, crowded,
         assert got == plain_repeats(rows, span)
         seen |= states
     assert {repeats.CLEAN, repeats.REMOVED, repeats.BY_WINDOW} <= seen or hot > 2
+
+
+@pytest.mark.parametrize("page", ["<div " * 200_000, "<a '" * 250_000, "<a '" * 250_000 + ">", "<a \"'" * 200_000 + ">", "<div>" * 4_000 + "</p>" * 200_000, "<!" * 500_000, "<" * 1_000_000, "</" * 400_000, "<div class='" + "ad-" * 300_000 + "'>"])
+def test_hostile_pages_take_linear_time(page):
+    begun = time.time()
+    html_extract.main_text(page)
+    assert time.time() - begun < 5
+
+
+def test_broken_markup_is_text():
+    assert html_extract.main_text("one <div two") == "one <div two"
+    assert html_extract.main_text("<p>a < b <3</p><p>c <!-- no end <p>d") == "a < b <3\n\nc"
+    assert html_extract.main_text("<p>x</p><![CDATA[a <b> c") == "x\n\na <b> c"
+    assert html_extract.main_text("<a title='>'>in</a> <b>out</b>") == "in out"
+
+
+def test_no_secret_is_left_behind(spark):
+    secret = "ghp_" + "a1B2c3D4" * 4
+    rows = spark.createDataFrame([(i, f"the token = {secret} was here") for i in range(20)], "doc_id long, text string")
+    assert pii.find(rows).where("size(spans) > 0").count() == 20
+    folder = shared_dir(spark).removeprefix("file://")
+    assert not any(name.startswith("pii-") for name in os.listdir(folder) if os.path.isdir(f"{folder}/{name}"))
