@@ -34,7 +34,7 @@ ANSWER_TYPE = "struct<start:int,end:int,weight:double,value:double,label:string,
 USAGE_TYPE = "struct<requests:bigint,input_tokens:bigint,cost_usd:double>"
 ERROR_TYPE = "struct<code:string,message:string,chunk:int,status:int>"
 #: Columns that ``decide`` works with; a caller's columns of these names step aside meanwhile.
-_WORKING = {"_error", "_chunks", "_answer", "_agreement", "_model", "_usage", "_spans", "_read", "_done"}
+_WORKING = {"_error", "_chunks", "_answer", "_agreement", "_model", "_usage", "_spans", "_read", "_done", "_by_model"}
 _OPTIONS = {"question", "combine", "max_input_tokens", "model", "transport", "url", "api_key"}
 
 
@@ -92,13 +92,17 @@ def decide(
     max_chunk_tokens: int | None = None,
     timeout: float = TIMEOUT_S,
     output_col: str = "result",
+    fallbacks=(),
 ) -> DataFrame:
     """``df`` with ``result``: value, label, probs and confidence, the public ``answer``, agreement, chunks, model, usage and error.
 
     ``on_error``: "fail" fails the job for any failing input; "column" puts the error beside a null
     answer. An answer never comes from a part of an input. ``max_chunk_tokens`` overrides the budget.
-    All columns of ``df`` stay, whatever their names; ``output_col`` must not be one of them.
+    All columns of ``df`` stay, whatever their names; ``output_col`` must not be one of them. ``fallbacks``: further
+    (model, function) pairs that only chunks go to which the one before has failed; ``result.by_model`` then holds
+    the chunks that each answered and its usage.
     """
+    fallbacks = _checked(fallbacks, transport)
     transport, budget = prepare(question, combine_how, max_input_tokens, model, transport, url, api_key)
     budget = max_chunk_tokens or budget
     if on_error not in ("fail", "column"):
@@ -112,7 +116,7 @@ def decide(
     if isinstance(transport, ColumnTransport):
         rows = _by_column(rows, question, input_col, transport, budget)
     else:
-        rows = _by_calls(rows, question, input_col, transport, model, budget, timeout)
+        rows = _by_calls(rows, question, input_col, transport, model, budget, timeout, fallbacks)
     none = F.lit(None)
     ok = F.col("_error").isNull()
     chunks = F.col("_chunks")
@@ -125,6 +129,7 @@ def decide(
         F.col("_model").alias("model"),
         F.col("_usage").alias("usage"),
         F.col("_error").alias("error"),
+        *([F.col("_by_model").alias("by_model")] if fallbacks else []),
     )
     rows = rows.withColumn("_answer", F.when(ok, combine(question, chunks, combine_how))).withColumn("_agreement", F.when(ok, agreement(question, chunks)))
     if on_error == "fail":
@@ -132,10 +137,20 @@ def decide(
         out = F.when(F.col("_error").isNotNull(), F.raise_error(said)).otherwise(out)
     # Filters on the result stay above a generator, so that no answer is computed once more for each mention; those on
     # other columns go below it, down to the scan.
-    rows = rows.select("*", F.explode_outer(F.array(out)).alias(output_col)).drop("_error", "_chunks", "_answer", "_agreement", "_model", "_usage")
+    rows = rows.select("*", F.explode_outer(F.array(out)).alias(output_col)).drop("_error", "_chunks", "_answer", "_agreement", "_model", "_usage", "_by_model")
     return rows.withColumnsRenamed({v: k for k, v in aside.items()})
 
 
+def _checked(fallbacks, transport) -> tuple:
+    out = tuple(fallbacks)
+    if out and isinstance(transport, ColumnTransport):
+        raise invalid("Fallbacks are for remote models.")
+    for one in out:
+        if not isinstance(one, tuple) or len(one) != 2 or not isinstance(one[0], str) or is_blank(one[0]) or not callable(one[1]):
+            raise invalid("fallbacks must be pairs of a model's name and a function.")
+    return out
+
+
 def result_schema(question) -> T.StructType:
     """The type of ``result`` for a question."""
     validate_question(question)
@@ -163,28 +178,35 @@ def _by_column(rows: DataFrame, question, input_col: str, transport: ColumnTrans
 _DONE = pa.struct([("chunks", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("weight", pa.float64()), ("value", pa.float64()), ("label", pa.string()), ("probs", pa.list_(pa.float64())), ("confidence", pa.float64())]))), ("model", pa.string()), ("usage", pa.struct([("requests", pa.int64()), ("input_tokens", pa.int64()), ("cost_usd", pa.float64())])), ("error", pa.struct([("code", pa.string()), ("message", pa.string()), ("chunk", pa.int32()), ("status", pa.int32())]))])
 
 
-def _by_calls(rows: DataFrame, question, input_col: str, transport, model: str, budget: int, timeout: float) -> DataFrame:
+_BY_MODEL = pa.list_(pa.struct([("model", pa.string()), ("chunks", pa.int64()), ("requests", pa.int64()), ("input_tokens", pa.int64()), ("cost_usd", pa.float64())]))
+
+
+def _by_calls(rows: DataFrame, question, input_col: str, transport, model: str, budget: int, timeout: float, fallbacks=()) -> DataFrame:
     """A scalar function of text and gate: all other columns stay in the JVM."""
     least = min(MIN_CHUNK_TOKENS, budget)
+    kind, schema = _DONE, f"chunks:array<{ANSWER_TYPE}>,model:string,usage:{USAGE_TYPE},error:{ERROR_TYPE}"
+    if fallbacks:
+        kind = pa.struct([*_DONE, ("by_model", _BY_MODEL)])
+        schema += ",by_model:array<struct<model:string,chunks:bigint,requests:bigint,input_tokens:bigint,cost_usd:double>>"
 
     def ask(text: str | None, error) -> dict:
         if error is not None:
             return {"chunks": None, "model": model, "usage": {"requests": 0, "input_tokens": 0, "cost_usd": None}, "error": error}
-        run = Run(text, question, transport, model, timeout)
+        run = Run(text, question, transport, model, timeout, fallbacks=fallbacks)
         chunks = problem = None
         try:
             spans, answers = run.decide(budget, least)
             chunks = [{"start": a, "end": b, "weight": w} | x for (a, b, w), x in zip(spans, answers, strict=True)]
         except DecideError as e:
             problem = {"code": e.code, "message": e.message, "chunk": e.chunk, "status": e.status}
-        return {"chunks": chunks, "model": run.answered_by(), "usage": {"requests": run.requests, "input_tokens": int(run.input_tokens), "cost_usd": run.cost}, "error": problem}
+        return {"chunks": chunks, "model": run.answered_by(), "usage": {"requests": run.requests, "input_tokens": int(run.input_tokens), "cost_usd": run.cost}, "error": problem, "by_model": run.by_choice}
 
     def asked(texts: pa.Array, gates: pa.Array) -> pa.Array:
-        return pa.array([ask(t.as_py(), g.as_py()) for t, g in zip(texts, gates, strict=True)], _DONE)
+        return pa.array([ask(t.as_py(), g.as_py()) for t, g in zip(texts, gates, strict=True)], kind)
 
-    done = F.arrow_udf(asked, f"struct<chunks:array<{ANSWER_TYPE}>,model:string,usage:{USAGE_TYPE},error:{ERROR_TYPE}>")
+    done = F.arrow_udf(asked, f"struct<{schema}>")
     called = rows.withColumn("_done", done(F.col(input_col), F.col("_error")))
-    return called.withColumns({"_chunks": F.col("_done.chunks"), "_model": F.col("_done.model"), "_usage": F.col("_done.usage"), "_error": F.col("_done.error")}).drop("_done")
+    return called.withColumns({"_chunks": F.col("_done.chunks"), "_model": F.col("_done.model"), "_usage": F.col("_done.usage"), "_error": F.col("_done.error"), **({"_by_model": F.col("_done.by_model")} if fallbacks else {})}).drop("_done")
 
 
 def _first(rows: DataFrame, cancelled: threading.Event | None) -> Row:

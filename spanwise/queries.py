@@ -752,6 +752,18 @@ def q_retry_policy(spark, d):
     return _answered(spark, d, _failing).select("doc_id", "code", "status", "requests")
 
 
+def q_fallback(spark, d):
+    """A first model that fails by a text's length, and a second one for what it failed."""
+    rows = decide(_docs(spark, d), TOPIC, transport=_failing, fallbacks=[("second", _fake)], on_error="column")
+    used = rows.select("doc_id", F.col("result.label").alias("label"), F.inline("result.by_model"))
+    return used.select("doc_id", "label", "model", "chunks", "requests", "input_tokens")
+
+
+def _s_fallback() -> str:
+    return f"""WITH t AS (SELECT doc_id, CASE WHEN (length(text) - length(replace(text, 'the', ''))) // 3 >= (length(text) - length(replace(text, 'que', ''))) // 3 THEN 'en' ELSE 'fr' END AS label, code IS NULL AS ok, requests FROM ({_s_retry()}) JOIN documents USING (doc_id))
+SELECT doc_id, label, 'default' AS model, ok::BIGINT AS chunks, requests, 100 * ok::BIGINT AS input_tokens FROM t UNION ALL SELECT doc_id, label, 'second', (NOT ok)::BIGINT, (NOT ok)::BIGINT, 100 * (NOT ok)::BIGINT FROM t"""
+
+
 def q_run_counters(spark, d):
     """The counters of a run in which most models fail, without a second pass over it."""
     rows, counters = observed(decide(_docs(spark, d), TOPIC, transport=_failing, on_error="column"))
@@ -889,6 +901,7 @@ ALL = {
     "confidence_signals": (q_signals, S_SIGNALS),
     "agreement_with_average": (q_agreement_average, S_AGREEMENT_AVERAGE),
     "chunks_function": (q_chunks_function, S_CHUNKS),
+    "fallback_model": (q_fallback, _s_fallback()),
     "run_counters": (q_run_counters, _s_counters()),
     "calibration": (q_calibration, S_CALIBRATION),
     "reliability": (q_reliability, S_RELIABILITY),

@@ -190,3 +190,32 @@ def test_waits_as_told_and_wakes_when_stopped():
     with pytest.raises(DecideError) as e:
         Run("rock " * 300 + "tree " * 3000, TOPIC, first_waits, "m").decide(1000)
     assert e.value.status == 401 and time.time() - begun < 5
+
+
+def test_failed_chunks_go_to_the_next_model(spark):
+    def first(request, timeout):
+        if "que" in request["state"]:
+            raise HttpError("no", 401)
+        if "bad" in request["state"]:
+            return {"answers": {}, "usage": {"input_tokens": 7}}
+        return _fake_many(request, timeout) | {"model": "one"}
+
+    def second(request, timeout):
+        assert request["model"] == "two"
+        if "zzz" in request["state"]:
+            raise HttpError("no", 400)
+        return {k: v for k, v in _fake_many(request, timeout).items() if k != "model"}
+
+    rows = table(spark, [(1, "the end", ""), (2, "que que", ""), (3, "bad", ""), (4, "que zzz", ""), (5, "the. " * 300 + "que. " * 300, "")])
+    got = {r.id: r.result for r in decide(rows, TOPIC, transport=first, fallbacks=[("two", second)], on_error="column", max_chunk_tokens=200).collect()}
+    used = {i: [(m.model, m.chunks, m.requests) for m in r.by_model] for i, r in got.items()}
+    assert used[1] == [("default", 1, 1), ("two", 0, 0)] and got[1].model == "one" and used[2] == [("default", 0, 1), ("two", 1, 1)] and got[2].model == "two"
+    assert got[3].label is not None and got[3].by_model[0].input_tokens == 7 and got[3].usage.requests == 2
+    assert got[4].error.code == "request_failed" and got[4].error.status == 400
+    n = len(got[5].chunks)
+    assert used[5][0][1] + used[5][1][1] == n and 0 < used[5][1][2] < n == used[5][0][2] and got[5].error is None
+    for wrong in ([("x",)], [("", second)], [("two", 1)]):
+        with pytest.raises(DecideError):
+            decide(rows, TOPIC, transport=first, fallbacks=wrong)
+    with pytest.raises(DecideError):
+        decide(rows, TOPIC, transport=keyword(TOPIC), fallbacks=[("two", second)])
