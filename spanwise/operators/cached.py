@@ -152,9 +152,9 @@ def decide_cached(
         cut = pending.withColumn("s", plan_chunks(F.col("text"), F.col("budget")))
         state = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["weight"].alias("weight"), chunk_key(chunk_text(F.col("text"), s)).alias("key"), estimate_tokens(chunk_text(F.col("text"), s)).alias("tokens"))
         cut = cut.select("id", "budget", F.posexplode(F.transform("s", state)).alias("idx", "c")).select("id", "idx", "budget", "c.*")
-        # Planned once; texts stay where they are.
+        # Planned once, without the texts.
         chunks = cache.planned(cut, run, attempt)
-        # One chunk of each address asks for all; its text travels only if the cache lacks the answer.
+        # One chunk of each address asks for all; texts are joined to those that the cache lacks.
         firsts = chunks.groupBy("key").agg(F.min(F.struct("id", "idx", "start", "end")).alias("f")).select("key", "f.*")
         known = cache.answers(question, model).select("key")
         failed_now = cache.rows(question, model).where((F.col("run") == run) & F.col("problem").isNotNull()).select("key")
