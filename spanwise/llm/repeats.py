@@ -46,7 +46,7 @@ from .wordhash import mix
 SPAN = 50
 #: Bytes of text of a block, and positions that are hashed at once.
 BLOCK = 8 << 20
-SLICE = 1 << 20
+SLICE = 1 << 17
 #: Windows of a fragment at most.
 LONGEST = 4096
 #: Different fragments of a name, in a block and in all, beyond which its windows meet one by one.
