@@ -128,10 +128,12 @@ def decide_cached(
     max_chunk_tokens: int | None = None,
     timeout: float = TIMEOUT_S,
     output_col: str = "result",
+    max_requests: int | None = None,
 ) -> DataFrame:
     """``decide`` over a remote model with a cache. The requests are made at once; the result reads the cache.
 
     ``id_col``: different for every row and never null, else the rows concerned get an ``invalid_request``.
+    ``max_requests``: requests at a time over the whole cluster, CONCURRENCY at least; as many as tasks can run by default.
     """
     transport, budget = prepare(question, combine_how, max_input_tokens, model, transport, url, api_key)
     if isinstance(transport, ColumnTransport):
@@ -146,7 +148,10 @@ def decide_cached(
     inputs = df.select(F.col(id_col).alias("id"), F.col(input_col).alias("text"))
     good = inputs.where(gates(F.col("text"), max_input_tokens).isNull() & F.col("id").isNotNull())
     ask = _asking(question, transport, model, timeout)
-    parts = spark.sparkContext.defaultParallelism
+    if max_requests is not None and (isinstance(max_requests, bool) or not isinstance(max_requests, int) or max_requests < CONCURRENCY):
+        raise invalid(f"max_requests must be a whole number of {CONCURRENCY} or more.")
+    # A task asks CONCURRENCY at a time, and there are no more tasks than partitions.
+    parts = spark.sparkContext.defaultParallelism if max_requests is None else max_requests // CONCURRENCY
     pending, passes = good.withColumn("budget", F.lit(budget)), []
     for attempt in range(MAX_REPLANS + 1):
         cut = pending.withColumn("s", plan_chunks(F.col("text"), F.col("budget")))

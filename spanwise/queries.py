@@ -734,7 +734,7 @@ def q_score_errors(spark, d):
 def _answered(spark, d, transport) -> DataFrame:
     rows = decide(_docs(spark, d), TOPIC, transport=transport, on_error="column")
     e = F.col("result.error")
-    return rows.select("doc_id", e["code"].alias("code"), e["status"].alias("status"), F.col("result.usage.requests").alias("requests"), F.col("result.chunks").alias("chunks"), "text")
+    return rows.select("doc_id", e["code"].alias("code"), e["status"].alias("status"), e["message"].alias("message"), e["chunk"].alias("chunk"), F.col("result.usage.requests").alias("requests"), F.col("result.chunks").alias("chunks"), "text")
 
 
 #: By length: what the model answers; none is an answer.
@@ -749,7 +749,7 @@ def _failing(request: dict, timeout: float) -> dict:
 
 
 def q_retry_policy(spark, d):
-    return _answered(spark, d, _failing).select("doc_id", "code", "status", "requests")
+    return _answered(spark, d, _failing).select("doc_id", "code", "status", "message", "chunk", "requests")
 
 
 def q_fallback(spark, d):
@@ -783,7 +783,7 @@ def _listed(values) -> str:
 
 
 def _s_retry() -> str:
-    return f"""SELECT doc_id, CASE WHEN s IS NOT NULL THEN 'request_failed' END AS code, s::INT AS status, CASE WHEN s IN (408, 429) OR s >= 500 THEN 4 ELSE 1 END::BIGINT AS requests
+    return f"""SELECT doc_id, CASE WHEN s IS NOT NULL THEN 'request_failed' END AS code, s::INT AS status, CASE WHEN s IS NOT NULL THEN 'Chunk 1 of 1 failed: refused' END AS message, CASE WHEN s IS NOT NULL THEN 0 END::INT AS chunk, CASE WHEN s IN (408, 429) OR s >= 500 THEN 4 ELSE 1 END::BIGINT AS requests
 FROM (SELECT doc_id, {_listed(_STATUSES)}[length(text) % {len(_STATUSES)} + 1] AS s FROM documents)"""
 
 

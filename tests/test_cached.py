@@ -26,11 +26,17 @@ class _Model(BaseHTTPRequestHandler):
         text, server = request["state"], self.server
         with server.lock:
             server.seen.append(request)
+            server.now += 1
+            server.peak = max(server.peak, server.now)
+        if server.slow:
+            time.sleep(server.slow)
         status = 413 if token_count(text) > server.most else next((s for word, s in server.fails.items() if word in text), 200)
         body = json.dumps(_fake_many(request, 1) if status == 200 else {"message": "no"}).encode()
         self.send_response(status)
         self.end_headers()
         self.wfile.write(body)
+        with server.lock:
+            server.now -= 1
 
     def log_message(self, *_):
         pass
@@ -40,6 +46,7 @@ class _Model(BaseHTTPRequestHandler):
 def model():
     server = ThreadingHTTPServer(("127.0.0.1", 0), _Model)
     server.seen, server.fails, server.most, server.lock = [], {}, 10**9, threading.Lock()
+    server.now, server.peak, server.slow = 0, 0, 0
     server.options = {"url": f"http://127.0.0.1:{server.server_port}/decide", "api_key": "k"}
     threading.Thread(target=server.serve_forever, daemon=True).start()
     yield server
@@ -124,11 +131,18 @@ def test_cache_gates(spark, model):
     said = sorted((str(r.id), r.result.error.code) for r in got if r.result.error)
     assert said == [("1", "invalid_request"), ("1", "invalid_request"), ("2", "input_too_large"), ("None", "invalid_request")]
     assert decide_cached(table(spark, []), TOPIC, cache, "id", **model.options).count() == 0
-    for wrong in ({"transport": keyword(TOPIC)}, {"on_error": "x"}, {"output_col": "note"}):
+    for wrong in ({"transport": keyword(TOPIC)}, {"on_error": "x"}, {"output_col": "note"}, {"max_requests": 3}, {"max_requests": True}):
         with pytest.raises(DecideError):
             decide_cached(table(spark, []), TOPIC, cache, "id", **(model.options | wrong))
 
 
+def test_requests_at_a_time_are_bounded(spark, model):
+    model.slow = 0.05
+    rows = table(spark, [(i, f"the {i}", "") for i in range(60)]).repartition(6)
+    assert all(r.error is None for r in cached(rows, AnswerCache(spark, fresh_folder(spark, "cache")), model, max_requests=5).values())
+    assert len(model.seen) == 60 and 2 <= model.peak <= 5
+
+
 def test_many_questions(spark, model):
     rows = table(spark, [(1, prose(60), "a"), (2, "the the que", "b"), (3, " ", "c")])
     many = decide_many(rows.withColumn("_many", F.lit(1)), QUESTIONS, combine_how={"level": "max"}, on_error="column", max_chunk_tokens=300, **model.options)
