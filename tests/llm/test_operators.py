@@ -492,14 +492,51 @@ def test_bpe(spark, docs, empty):
     assert bpe.encode(empty).count() == 0
 
 
-def test_pipeline(spark, tmp_path, docs):
+def plain_pipeline(rows, masked):
+    """doc_id -> its token ids after all stages; ``masked``: what the personal data stage makes of a text."""
+    from tokenizers import Tokenizer
+
+    from spanwise.llm.tokens import default_path
+
+    exact = Tokenizer.from_file(default_path("byte_bpe_50k.json"))
+    kept = [(i, t) for i, t in rows if not (plain_quality(t)[0] < 20 or 100 * plain_quality(t)[4] > 30 * plain_quality(t)[0])]
+    groups = brute_groups(kept, 5, 80)
+    return {i: np.array([*exact.encode(masked(t), add_special_tokens=False).ids, 2], "<u4") for i, t in kept if groups[i][1] == i}
+
+
+def test_pipeline(spark, tmp_path, docs, empty):
+    """Rejected documents, groups of copies, masked texts and packed rows, against a plain version of all stages."""
     import corpus_pipeline
 
-    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    def masked(text):
+        out, at = "", 0
+        for kind, s, e in sorted(plain_pii(text), key=lambda x: x[1:]):
+            if s >= at:
+                out, at = out + text[at:s] + f"[{kind.upper()}]", e
+        return out + text[at:]
+
+    rng = random.Random(9)
+    words = lambda n: " ".join("".join(rng.choice("ijklmnopq") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    more = [(500 + i, f"{words(30)} write to ann{i}@mail.example.org or {i}.20.30.40 {words(30)}", "en", "src1", 0) for i in range(5)]
+    more += [(600, words(3000), "en", "src1", 0), (601, "too short", "en", "src1", 0), (602, "the same words " * 60, "en", "src1", 0)]
+    table = docs.union(spark.createDataFrame(more, SCHEMA))
+    table.write.parquet(str(tmp_path / "documents.parquet"))
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    kept = [r for r in docs.collect() if not (plain_quality(r.text)[0] < 20 or 100 * plain_quality(r.text)[4] > 30 * plain_quality(r.text)[0])]
-    groups = brute_groups([(r.doc_id, r.text) for r in kept], 5, 80)
-    assert {r.doc_id for r in rows} == {i for i, (_, p) in groups.items() if i == p}
+    want = plain_pipeline([(r.doc_id, r.text) for r in table.collect()], masked)
+    assert {r.doc_id for r in rows} == set(want) and {500, 504, 600} <= set(want) and not {601, 602} & set(want)
+    sequences, pieces = {}, {}
+    for r in rows:
+        assert zlib.crc32(want[r.doc_id][r.start : r.start + r.length]) == r.ids_crc32 and (r.length == 1024 or r.piece == 0)
+        pieces.setdefault(r.doc_id, []).append((r.piece, r.start, r.length))
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for i, own in pieces.items():
+        assert [p for p, *_ in sorted(own)] == list(range(len(own))) and sum(n for *_, n in own) == len(want[i])
+    for places in sequences.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(places)]).tolist()]
+        assert [o for o, _ in sorted(places)] == ends[:-1] and ends[-1] <= 1024
+    assert len(sequences) <= -(-sum(map(len, want.values())) // 1024) + 1
+    empty.write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_scores_do_not_depend_on_the_layout(spark):
