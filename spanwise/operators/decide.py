@@ -55,7 +55,7 @@ def prepare(question, combine_how="average", max_input_tokens=MAX_INPUT_TOKENS,
     if not isinstance(max_input_tokens, int) or isinstance(max_input_tokens, bool) or not 0 < max_input_tokens < 1 << 53:
         raise invalid("max_input_tokens must be a positive integer.")
     if not isinstance(model, str) or is_blank(model):
-        raise invalid("model must be a non-empty string.")
+        raise invalid("model must be a string with some text in it.")
     if transport is None:
         key = api_key if api_key is not None else os.environ.get(API_KEY)
         if not isinstance(key, str) or is_blank(key):
@@ -75,7 +75,7 @@ def error_of(code: str, message: Column, chunk: Column | None = None) -> Column:
 
 def gates(text: Column, max_input_tokens: int) -> Column:
     too_large = size_gate(text, max_input_tokens)
-    return F.when(~nonblank(text), error_of("invalid_request", F.lit("input must be a non-empty string."))).when(too_large.isNotNull(), error_of("input_too_large", too_large))
+    return F.when(~nonblank(text), error_of("invalid_request", F.lit("input must be a string with some text in it."))).when(too_large.isNotNull(), error_of("input_too_large", too_large))
 
 
 def decide(
@@ -248,7 +248,7 @@ def decide_one(spark: SparkSession, **options) -> Row:
     text, question = options.pop("input", None), options.pop("question", None)
     cancelled: threading.Event | None = options.pop("cancelled", None)
     if not isinstance(text, str) or is_blank(text):
-        raise invalid("input must be a non-empty string.")
+        raise invalid("input must be a string with some text in it.")
     how, limit = options.pop("combine", "average"), options.get("max_input_tokens", MAX_INPUT_TOKENS)
     prepare(question, how, **{k: v for k, v in options.items() if k in inspect.signature(prepare).parameters})
     if (tokens := token_count(text)) > limit:
