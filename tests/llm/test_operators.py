@@ -264,7 +264,7 @@ def test_packing_plan():
             else:
                 opened += 1
                 gaps.append(50 - length)
-        assert len(room) <= opened + 1
+        assert len(room) == opened
 
 
 def plain_quality(t):
