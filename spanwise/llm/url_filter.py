@@ -74,13 +74,19 @@ def with_rules(rows: DataFrame, host: Column, path: Column, rules=RULES) -> Data
     return rows.withColumn("_longest", longest).withColumns({"_rule": F.col("_longest.rule"), "_kind": F.col("_longest.kind")}).drop("_host", "_path", "_rules", "_longest")
 
 
+#: Comments, and elements whose content is text to a parser; without an end, to the end of the page.
+_NO_MARKUP = r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title|template|noscript|iframe|xmp)\b[^>]*+>.*?(?:</\1\s*+>|\z)"
+#: One of the words of a rel attribute.
+_CANONICAL = r"""(?i)\brel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical(?=[\s/>]))"""
+
+
 def link_targets(html: Column) -> Column:
-    """Addresses that canonical links and refresh redirects in the html, outside comments, name."""
-    html = F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", "")
-    link = F.regexp_extract_all(html, F.lit(r"(?i)(<link\b[^>]*>)"), 1)
-    link = F.filter(link, lambda t: t.rlike(r"""(?i)\brel\s*=\s*["']?canonical\b"""))
+    """Addresses that canonical links and refresh redirects in the html name, outside comments, scripts and other raw text."""
+    html = F.regexp_replace(html, _NO_MARKUP, "")
+    link = F.regexp_extract_all(html, F.lit(r"(?i)(<link\b[^<>]*+>)"), 1)
+    link = F.filter(link, lambda t: t.rlike(_CANONICAL))
     link = F.transform(link, lambda t: F.regexp_extract(t, r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""", 1))
-    meta = F.regexp_extract_all(html, F.lit(r"(?i)(<meta\b[^>]*>)"), 1)
+    meta = F.regexp_extract_all(html, F.lit(r"(?i)(<meta\b[^<>]*+>)"), 1)
     meta = F.filter(meta, lambda t: t.rlike(r"""(?i)http-equiv\s*=\s*["']?refresh\b"""))
     meta = F.transform(meta, lambda t: F.regexp_extract(t, r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)""", 1))
     return F.when(html.rlike(r"(?i)canonical|refresh"), F.transform(F.concat(link, meta), lambda t: F.replace(t, F.lit("&amp;"), F.lit("&"))))

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from spanwise.llm import ann, bpe, html_extract, lm, ngram_join, packing, quality, repeats, token_output
+from spanwise.llm import ann, bpe, html_extract, lm, ngram_join, packing, quality, repeats, token_output, url_filter
 from spanwise.llm.common import fresh_path
 
 NAMES = ("id", "key", "block", "q", "v", "word", "ids", "n_tokens", "piece", "slot", "shard", "component", "x", "p", "w", "t", "c", "n", "_row")
@@ -61,3 +61,25 @@ def test_texts_of_a_megabyte(spark):
     assert judged[1].n_words == 200_000 and judged[3].base_failed
     kept = {r.doc_id: r for r in repeats.remove_repeats(rows).collect()}
     assert kept[1].spans == [] and len(bytes(kept[2].kept)) < 60 and len(bytes(kept[3].kept)) == 1_000_000
+
+
+def test_links_of_pages(spark):
+    """Links in scripts and other raw text don't count; rel is a list of words; broken markup takes linear time."""
+    link = '<link rel="canonical" href="http://a.net/x">'
+    pages = [
+        (link, ["http://a.net/x"]),
+        ("<LINK href=/y REL=canonical>", ["/y"]),
+        ("<link rel='alternate canonical' href='/z'>", ["/z"]),
+        ('<link rel="not-canonical" href="/n"><link rel="canonicals" href="/m"><link title="canonical" href="/t">', []),
+        (f"<script>var s = '{link}'</script>", []),
+        (f"<SCRIPT>{link}", []),
+        (f"<style>{link}</style >{link}", ["http://a.net/x"]),
+        (f"<!-- {link} --><textarea>{link}</textarea><title>{link}</title>", []),
+        (f"<script>'<!--'</script>{link}", ["http://a.net/x"]),
+        ('<meta http-equiv="refresh" content="0; url=/r?a=1&amp;b=2">', ["/r?a=1&b=2"]),
+        ("<link canonical " * 60_000, []),
+        ("<script>canonical" * 60_000, []),
+    ]
+    rows = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(pages)], "i int, html string")
+    got = {r.i: r.t or [] for r in rows.select("i", url_filter.link_targets(F.col("html")).alias("t")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(pages)}
