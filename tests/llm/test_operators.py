@@ -113,6 +113,41 @@ def test_ngram_many_near_copies(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_groups(rows, 3, 90)
 
 
+def test_ngram_differences_of_crowded_buckets(spark, monkeypatch):
+    """Differences from the pivot are counted in lists, not a row each; no link is lost, and the rows are the rarest shared ones."""
+    exploded = []
+    explode = F.explode
+    monkeypatch.setattr(F, "explode", lambda c: exploded.append(str(c)) or explode(c))
+    monkeypatch.setattr(ngram_join, "FEW", 1)
+    monkeypatch.setattr(ngram_join, "COUNTED", 500)
+    made, counted = [], ngram_join._rarest_differences
+    monkeypatch.setattr(ngram_join, "_rarest_differences", lambda rows: made.append(1) or counted(rows))
+    rng = random.Random(8)
+    rows = []
+    for i in range(120):
+        w = [f"w{k}" for k in range(60)]
+        for k in rng.sample(range(60), rng.choice([1, 2, 3, 4])):
+            w[k] = f"e{rng.randint(0, 40)}"
+        rows.append((i, " ".join(w)))
+    got = ngram_join.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), percent=90).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_groups(rows, 3, 90)
+    assert made and not any("keys" in c for c in exploded)
+    owners = [(p, 10 * p + x, rng.randint(1, 3), rng.randint(1, 9), [rng.randint(0, 30) for _ in range(rng.randint(0, 20))]) for p in (1, 2) for x in range(9)]
+    got = sorted((r.x, r.own, r.component) for r in counted(spark.createDataFrame(owners, "p long, x long, component long, prefix int, keys array<int>").repartition(3)).collect())
+    expected = []
+    for p, x, component, prefix, keys in owners:
+        having = {k: [o[2] for o in owners if o[0] == p for y in o[4] if y == k] for k in keys}
+        shared = [k for k in keys if len(set(having[k])) > 1]
+        own = len(keys) - len(shared)
+        ranks = sorted(len(having[k]) for k in shared)[: max(0, prefix - own)]
+        expected.append((x, own, component, prefix, sorted(shared, key=lambda k: len(having[k])), len(ranks)))
+    for x, own, component, prefix, shared, most in expected:
+        mine = [g for g in got if g[0] == x]
+        assert all(g == (x, own, component) for g in mine) and len(mine) <= most and bool(mine) == bool(most)
+        if len(set(shared)) == len(shared):
+            assert len(mine) == most
+
+
 def test_keep_one(docs, empty):
     kept = ngram_join.keep_one(docs.withColumn("id", F.lit(1)).withColumn("key", F.lit("k")))
     groups = brute_groups([(r.doc_id, r.text) for r in docs.collect()], 5, 80)
