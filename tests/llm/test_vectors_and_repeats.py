@@ -5,6 +5,7 @@ import math
 import os
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -170,6 +171,19 @@ def test_repeats(spark, monkeypatch, small):
     assert sum(len(s) for _, _, s, _ in got) > 50
 
 
+def test_memory_of_a_block_with_repeats():
+    n = 1 << 20
+    raw = np.random.RandomState(1).randint(97, 123, n).astype(np.uint8).tobytes()
+    block = repeats.Block(pa.array([[1, 2]], pa.list_(pa.int64()))[0], pa.array([[0, n // 2, n]])[0], pa.compress(raw, codec="zstd", asbytes=True), 50, 1)
+    at = np.arange(n // 2, n - 100, 400)
+    tracemalloc.start()
+    spans = [spans for _, _, spans, _ in block.documents(at, at + 20)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert spans == [[], [{"start": i - n // 2, "end": i - n // 2 + 69} for i in at.tolist()]]
+    assert peak < 8 * n
+
+
 def test_no_texts_to_repeat(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     got = repeats.remove_repeats(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")).collect()
