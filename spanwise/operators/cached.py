@@ -129,11 +129,13 @@ def decide_cached(
     timeout: float = TIMEOUT_S,
     output_col: str = "result",
     max_requests: int | None = None,
+    ask_blank: bool = False,
 ) -> DataFrame:
     """``decide`` over a remote model with a cache. The requests are made at once; the result reads the cache.
 
     ``id_col``: different for every row and never null, else the rows concerned get an ``invalid_request``.
     ``max_requests``: requests at a time over the whole cluster, CONCURRENCY at least; as many as tasks can run by default.
+    ``ask_blank``: as for ``decide``.
     """
     transport, budget = prepare(question, combine_how, max_input_tokens, model, transport, url, api_key)
     if isinstance(transport, ColumnTransport):
@@ -146,7 +148,7 @@ def decide_cached(
     least = min(MIN_CHUNK_TOKENS, budget)
     ship(spark)
     inputs = df.select(F.col(id_col).alias("id"), F.col(input_col).alias("text"))
-    good = inputs.where(gates(F.col("text"), max_input_tokens).isNull() & F.col("id").isNotNull())
+    good = inputs.where(gates(F.col("text"), max_input_tokens, ask_blank).isNull() & F.col("id").isNotNull())
     ask = _asking(question, transport, model, timeout)
     if max_requests is not None and (isinstance(max_requests, bool) or not isinstance(max_requests, int) or max_requests < CONCURRENCY):
         raise invalid(f"max_requests must be a whole number of {CONCURRENCY} or more.")
@@ -196,7 +198,7 @@ def decide_cached(
     done = done.join(usage, F.col("id").cast("string") == F.col("owner"), "left").select(F.col("id").alias("_of"), F.struct("chunks", "problem", "model", "requests", "input_tokens", "cost_usd").alias("_d"))
     out = df.join(done, F.col(id_col) == F.col("_of"), "left").drop("_of")
     missing = F.when(F.col(id_col).isNull(), error_of("invalid_request", F.lit("The id column holds a null.")))
-    rows = out.withColumn("_e", F.coalesce(gates(F.col(input_col), max_input_tokens), missing, F.col("_d.problem")).cast(ERROR_TYPE))
+    rows = out.withColumn("_e", F.coalesce(gates(F.col(input_col), max_input_tokens, ask_blank), missing, F.col("_d.problem")).cast(ERROR_TYPE))
     ok, chunks = F.col("_e").isNull(), F.col("_d.chunks")
     rows = rows.withColumns({"_a": F.when(ok, combine(question, chunks, combine_how)), "_g": F.when(ok, agreement(question, chunks))})
     zero = lambda c: F.coalesce(F.col(f"_d.{c}"), F.lit(0).cast("long")).alias(c)

@@ -73,9 +73,9 @@ def error_of(code: str, message: Column, chunk: Column | None = None) -> Column:
     return F.struct(F.lit(code).alias("code"), message.alias("message"), (none if chunk is None else chunk).alias("chunk"), none.alias("status"))
 
 
-def gates(text: Column, max_input_tokens: int) -> Column:
+def gates(text: Column, max_input_tokens: int, ask_blank: bool = False) -> Column:
     too_large = size_gate(text, max_input_tokens)
-    return F.when(~nonblank(text), error_of("invalid_request", F.lit("input must be a string with some text in it."))).when(too_large.isNotNull(), error_of("input_too_large", too_large))
+    return F.when(text.isNull() if ask_blank else ~nonblank(text), error_of("invalid_request", F.lit("input must be a string with some text in it."))).when(too_large.isNotNull(), error_of("input_too_large", too_large))
 
 
 def decide(
@@ -93,6 +93,7 @@ def decide(
     timeout: float = TIMEOUT_S,
     output_col: str = "result",
     fallbacks=(),
+    ask_blank: bool = False,
 ) -> DataFrame:
     """``df`` with ``result``: value, label, probs and confidence, the public ``answer``, agreement, chunks, model, usage and error.
 
@@ -100,7 +101,8 @@ def decide(
     answer. An answer never comes from a part of an input. ``max_chunk_tokens`` overrides the budget.
     All columns of ``df`` stay, whatever their names; ``output_col`` must not be one of them. ``fallbacks``: further
     (model, function) pairs that only chunks go to which the one before has failed; ``result.by_model`` then holds
-    the chunks that each answered and its usage.
+    the chunks that each answered and its usage. ``ask_blank``: also asks about texts that are empty or nothing but
+    white space, which are errors otherwise; nulls stay errors.
     """
     fallbacks = _checked(fallbacks, transport)
     transport, budget = prepare(question, combine_how, max_input_tokens, model, transport, url, api_key)
@@ -112,7 +114,7 @@ def decide(
     ship(df.sparkSession)
     aside = {c: f"_aside_{i}_{c}" for i, c in enumerate(df.columns) if c.lower() in _WORKING}
     df, input_col = df.withColumnsRenamed(aside), aside.get(input_col, input_col)
-    rows = df.withColumn("_error", gates(F.col(input_col), max_input_tokens))
+    rows = df.withColumn("_error", gates(F.col(input_col), max_input_tokens, ask_blank))
     if isinstance(transport, ColumnTransport):
         rows = _by_column(rows, question, input_col, transport, budget)
     else:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import invalid
+from ..functions.text import nonblank
 from ..plans.chunks import chunk_text, plan_chunks
 from ..shared import fresh_folder
 from ..shipping import ship
@@ -44,7 +45,8 @@ def decide_levels(df: DataFrame, question, groups: Sequence[Sequence[str]], orde
     ``groups``: columns of each level, from the finest; each level's are among the one's below, and none means all
     texts. Level 0 is the texts, with ``order_col``; a level's row has null in the group columns that it doesn't know.
     ``order_col``: whole numbers, different for every row; the smallest comes first where the strongest tie. ``parts``:
-    sections of a text, or rows of the level below. ``options``: of ``decide``. Any failure fails the job; blank texts fail too.
+    sections of a text, or rows of the level below. ``options``: of ``decide``. Any failure fails the job; blank texts fail too,
+    unless ``ask_blank`` is among the options. A blank section of a text with something in it is asked about like others.
     """
     for fine, coarse in zip(groups, groups[1:], strict=False):
         if set(coarse) - set(fine):
@@ -53,12 +55,15 @@ def decide_levels(df: DataFrame, question, groups: Sequence[Sequence[str]], orde
     if order_col in columns or set(columns) & {"level", *_ANSWER, "agreement", "parts", "bytes", "at"}:
         raise invalid("A group column has the name of a column of the result.")
     ship(spark)
-    rows = df.select(F.col(order_col).cast("long").alias("at"), F.struct(*[F.col(c).alias(c) for c in columns]).alias("g") if columns else F.struct(F.lit(0).alias("_all")).alias("g"), F.col(input_col).alias("text"))
+    text = F.col(input_col)
+    if not options.pop("ask_blank", False):
+        text = F.when(nonblank(text), text)
+    rows = df.select(F.col(order_col).cast("long").alias("at"), F.struct(*[F.col(c).alias(c) for c in columns]).alias("g") if columns else F.struct(F.lit(0).alias("_all")).alias("g"), text.alias("text"))
     cut = rows.withColumn("s", plan_chunks(F.col("text"), section_tokens))
     section = F.transform("s", lambda s: F.struct(s["weight"].alias("weight"), chunk_text(F.col("text"), s).alias("part")))
-    # Null texts have no sections; as inputs they fail like blank ones.
+    # Null texts, and blank ones, have no sections; as inputs they fail.
     sections = cut.select("at", "g", F.octet_length("text").cast("long").alias("size"), F.posexplode_outer(section).alias("idx", "s")).select("at", "g", "size", "idx", "s.weight", "s.part")
-    asked = decide(sections, question, input_col="part", combine_how=combine_how, max_input_tokens=max(section_tokens, options.pop("max_input_tokens", MAX_INPUT_TOKENS)), **options)
+    asked = decide(sections, question, input_col="part", combine_how=combine_how, max_input_tokens=max(section_tokens, options.pop("max_input_tokens", MAX_INPUT_TOKENS)), ask_blank=True, **options)
     folder = fresh_folder(spark, "levels")
 
     def kept(rows: DataFrame, name) -> DataFrame:

@@ -61,11 +61,12 @@ def decide_many(
     max_chunk_tokens: int | None = None,
     timeout: float = TIMEOUT_S,
     output_col: str = "result",
+    ask_blank: bool = False,
 ) -> DataFrame:
     """``df`` with ``result``: ``answers``, which holds type, value, label, probs, confidence, the public answer,
     agreement and chunks of every question by its name; model, usage and error of them all.
 
-    ``combine_how``: one way for all, or by name. ``transport``: a function, or a ColumnTransport by name.
+    ``combine_how``: one way for all, or by name. ``transport``: a function, or a ColumnTransport by name. ``ask_blank``: as for ``decide``.
     """
     transport, hows, budget = _prepared(questions, combine_how, transport, max_input_tokens=max_input_tokens, model=model, url=url, api_key=api_key)
     budget = max_chunk_tokens or budget
@@ -78,7 +79,7 @@ def decide_many(
     own = "_many"
     while own in {c.lower() for c in df.columns}:
         own += "_"
-    gate = gates(F.col(input_col), max_input_tokens).cast(ERROR_TYPE)
+    gate = gates(F.col(input_col), max_input_tokens, ask_blank).cast(ERROR_TYPE)
     if isinstance(transport, Mapping):
         rows = _by_columns(df.withColumn(own, gate), own, questions, input_col, transport, budget)
     else:

@@ -6,7 +6,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from spanwise import queries
+from spanwise import decide, queries
+from spanwise.operators.levels import decide_levels
 from spanwise.streaming import decide_stream, run_available
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -49,3 +50,35 @@ def test_a_stream_without_rows_gives_none(spark, tmp_path):
     stream = spark.readStream.schema("text string").parquet(str(tmp_path / "in"))
     rows = run_available(spark, decide_stream(stream, queries.FOUND, transport=queries.keyword(queries.FOUND)), f"{tmp_path}/rows", f"{tmp_path}/state")
     assert rows.count() == 0 and rows.select(F.col("result.value")).columns == ["value"]
+
+
+#: Nothing, white space of several kinds and lengths, and texts around them.
+ODD = ["the cat", "", "   ", None, "que la vie", "\n\n \t", "the que " * 400, " " * 4000, chr(0x3000) * 3, "the end. " * 900 + " " * 9000]
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["best_threshold", "agreement_vs_quality", "calibration", "cached_decide", "confidence_signals", "decide_anywhere", "decide_documents", "decide_levels", "f1_thresholds", "decide_score", "label_f1", "public_answer", "reduced_answers", "reliability", "single_chunk", "score_errors"]
+    + ["stream_decide", "decide_many", "rpc_decide_many", "rpc_decide", "usage_rollup", "plan_chunks", "chunk_overlap", "chunk_state", "chunks_function", "ask_noul"],
+)
+def test_every_text_with_a_character_is_decided(spark, some, name):
+    found, told = both(spark, name, some(ODD))
+    assert found == told and found
+
+
+def test_texts_over_the_size_gate_are_decided(spark, some):
+    rows = queries.QUERIES["decide_anywhere"](spark, some(["the cat. " * 90_000])).collect()
+    assert len(rows) == 1 and rows[0]["chunks"] > 500
+
+
+def test_blank_texts_are_asked_about_only_on_demand(spark):
+    df = spark.createDataFrame([(1, " "), (2, ""), (3, None)], "id long, text string")
+    code = lambda **more: [r["code"] for r in decide(df, queries.FOUND, transport=queries.keyword(queries.FOUND), on_error="column", **more).orderBy("id").select("result.error.code").collect()]
+    assert code() == ["invalid_request"] * 3 and code(ask_blank=True) == [None, None, "invalid_request"]
+
+
+def test_blank_sections_of_a_text_do_not_fail_levels(spark):
+    ask = lambda text: decide_levels(spark.createDataFrame([(1, text)], "id long, text string"), queries.FOUND, [[]], "id", section_tokens=100, transport=queries.keyword(queries.FOUND)).collect()
+    assert len(ask("the end. " * 20 + " " * 2000)) == 2
+    with pytest.raises(Exception, match="invalid_request"):
+        ask(" " * 2000)
