@@ -7,9 +7,10 @@ higher-order functions over arrays of piece ids. The rank map, from pairs of ids
 they form, is one literal of the plan: an array of small maps, so that a lookup takes constant time. Words over LONG bytes, on which a fold takes quadratic time, are merged
 by the tokenizer library instead. Decoding concatenates the ids' binary pieces.
 
-The encoded words reach the texts in one of two ways, with the same result: up to BROADCAST_WORDS
-words as sorted arrays (about 20 bytes a word) on every executor, of which a task keeps what its texts
-use; beyond, joined by shuffle with the texts' words by place.
+Words are counted by the texts that have them. Those of two texts or more are encoded first, once each, and reach the
+texts as sorted arrays (about 20 bytes a word) on every executor, of which a task keeps what its texts
+use. Only up to BROADCAST_WORDS of them, those of the most texts: all other words, which are mostly of one text
+only, are encoded by the same fold in the rows of the texts that have them, so that no word's place is ever shuffled.
 
 Defined results: null text counts as empty: no ids; repeated rows are encoded each; an empty table
 gives no rows.
@@ -20,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import json
 import zlib
+from collections import Counter
 from functools import cache
 
 import numpy as np
@@ -32,7 +34,7 @@ from .common import let, written
 from .tokens import default_path, read_ranks
 
 LONG = 256
-BROADCAST_WORDS = 8_000_000
+BROADCAST_WORDS = 4_000_000
 #: Distinct words that a task holds before it passes them on, and encoded ones that it keeps.
 HELD = 400_000
 #: Slots of the rank map, and what makes one number of two ids (below WIDE); primes, so that the numbers spread.
@@ -120,8 +122,8 @@ def byte_literal(ranks: dict[bytes, int]) -> Column:
     return F.from_json(F.lit(json.dumps(out)), "array<int>")
 
 
-def fold(word: Column, ranks: dict[bytes, int]) -> Column:
-    """array<int>: the ids of a word of two bytes or more."""
+def folds(words: Column, ranks: dict[bytes, int]) -> Column:
+    """array<array<int>>: the ids of words of two bytes or more."""
 
     def encoded(pairs: Column, formed: Column, singles: Column, raw: Column) -> Column:
         def rank(a: Column, b: Column) -> Column:
@@ -154,43 +156,59 @@ def fold(word: Column, ranks: dict[bytes, int]) -> Column:
         start = F.transform(F.sequence(F.lit(1), n), lambda i: F.get(singles, F.shiftright(F.crc32(F.substring(raw, i, F.lit(1))), 24).cast("int")))
         return let(start, whole)
 
-    bound = lambda t: let(t["k"], lambda k: let(t["v"], lambda v: let(byte_literal(ranks), lambda one: let(word.cast("binary"), lambda raw: encoded(k, v, one, raw)))))
+    each = lambda k, v, one: F.transform(words, lambda word: let(word.cast("binary"), lambda raw: encoded(k, v, one, raw)))
+    bound = lambda t: let(t["k"], lambda k: let(t["v"], lambda v: let(byte_literal(ranks), lambda one: each(k, v, one))))
     return let(merge_literal(ranks), bound)
 
 
-def distinct_words(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(word): every distinct match of the pattern in the texts of (id, text) that isn't a token as it stands."""
+def fold(word: Column, ranks: dict[bytes, int]) -> Column:
+    """array<int>: the ids of a word of two bytes or more."""
+    return F.get(folds(F.array(word), ranks), F.lit(0))
+
+
+def counted_words(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(word, n): every distinct match of the pattern in the texts of (id, text) that isn't a token as it stands, nor over
+    LONG bytes, if two texts or more have it; n: how many."""
 
     def run(batches):
-        split, held, ranks = splitter(pattern), set(), _ranks(path)
+        split, held, ranks = splitter(pattern), Counter(), _ranks(path)
 
         def rows():
-            new = [w for w in held if w.encode() not in ranks]
+            new = [w for w in held if _needs_fold(w, ranks)]
+            out = pa.RecordBatch.from_arrays([pa.array(new, pa.string()), pa.array([held[w] for w in new], pa.int32())], names=["word", "n"])
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(new, pa.string())], names=["word"])
+            return out
 
         for batch in batches:
             for text in batch.column(0):
-                held.update(split.findall(text.as_py() or ""))
+                held.update(set(split.findall(text.as_py() or "")))
                 if len(held) > HELD:
                     yield rows()
         yield rows()
 
-    return map_in_arrow(docs.select("text"), run, "word string").distinct()
+    return map_in_arrow(docs.select("text"), run, "word string, n int").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
 
 
-def encoded_words(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(word, ids) of every distinct word that isn't a token."""
-    found = written(distinct_words(docs, path, pattern), "bpe-distinct")
-    short = found.where(F.octet_length("word") <= LONG).select("word", fold(F.col("word"), read_ranks(path)).alias("ids"))
+def _needs_fold(word: str, ranks: dict[bytes, int]) -> bool:
+    b = word.encode()
+    return b not in ranks and len(b) <= LONG
 
-    def run(batches):
-        for batch in batches:
-            ids = [_library(path).encode_ordinary(w.as_py()) for w in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
 
-    long = map_in_arrow(found.where(F.octet_length("word") > LONG), run, "word string, ids array<int>")
-    return written(short.union(long), "bpe-words")
+def encoded_words(docs: DataFrame, path: str, pattern: str, most: int = BROADCAST_WORDS) -> DataFrame:
+    """(word, ids) of the words that the most texts have, ``most`` of them at most."""
+    found = written(counted_words(docs, path, pattern), "bpe-counted")
+    left, least = most, 0
+    # Words of equally many texts come all or none; there are few different numbers that matter.
+    for row in found.groupBy(F.least("n", F.lit(1000)).alias("n")).count().orderBy(F.desc("n")).collect():
+        left -= row["count"]
+        if left < 0:
+            break
+        least = row["n"]
+    found = found.where(F.col("n") >= least) if least else found.limit(0)
+    # Dealt by hash, so that no task folds much more than others.
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = found.repartition(parts, "word")
+    return written(found.select("word", fold(F.col("word"), read_ranks(path)).alias("ids")), "bpe-words")
 
 
 def word_hash(word: str) -> int:
@@ -256,43 +274,62 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
     path, pattern = path or default_path("byte_bpe_multi_50k.tiktoken"), pattern or public_tokenizers.PATTERN
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    words = encoded_words(docs, path, pattern)
-    out = _by_broadcast(docs, words, path, pattern) if words.count() <= broadcast_words else _by_shuffle(docs, words, path, pattern)
+    words = encoded_words(docs, path, pattern, broadcast_words)
+    rows = _known(docs, words, path, pattern)
+    # Null where a text has no other words, so that the fold's literal is not bound for it.
+    other = F.when(F.size("other") > 0, folds(F.col("other"), read_ranks(path)))
+    out = _finished(rows.select("id", "ids", other.alias("other")), path)
     return out.withColumnRenamed("id", id_col) if id_col != "id" else out
 
 
-def _by_broadcast(docs: DataFrame, words: DataFrame, path: str, pattern: str) -> DataFrame:
+def _known(docs: DataFrame, words: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(id, ids, other): 32-bit ids of each text, with -1 - k in place of the k-th of its ``other`` words."""
     shared = docs.sparkSession.sparkContext.broadcast(_packed(words))
 
     def run(batches):
         hashes, starts, flat = shared.value
-        split, pieces = splitter(pattern), _pieces(path)
+        split, pieces, ranks = splitter(pattern), _pieces(path), _ranks(path)
         ids_of: dict[str, bytes] = {}
-        tokens = {b.decode(): i.to_bytes(4, "little") for b, i in _ranks(path).items() if _is_text(b)}
-
-        def learn(new: list[str]) -> None:
-            found = np.searchsorted(hashes, np.fromiter(map(word_hash, new), np.uint64, len(new)))
-            for word, a, z in zip(new, starts[found].tolist(), starts[found + 1].tolist(), strict=True):
-                ids = flat[a:z]
-                if b"".join(map(pieces.__getitem__, ids.tolist())) != word.encode():
-                    raise RuntimeError("two words have one hash")
-                ids_of[word] = ids.astype("<u4").tobytes()
+        tokens = {b.decode(): i.to_bytes(4, "little") for b, i in ranks.items() if _is_text(b)}
+
+        def learn(new: list[str]) -> list[str]:
+            """Those that aren't among the shared words."""
+            at = np.fromiter(map(word_hash, new), np.uint64, len(new))
+            found = np.searchsorted(hashes, at)
+            there = hashes[np.minimum(found, len(hashes) - 1)] == at if len(hashes) else np.zeros(len(new), bool)
+            found = np.where(there, found, 0)
+            none = []
+            for word, ok, a, z in zip(new, there.tolist(), starts[found].tolist(), starts[np.minimum(found + 1, len(starts) - 1)].tolist(), strict=True):
+                ids = flat[a:z] if ok else ()
+                # Another word's hash may be the same.
+                if ok and b"".join(map(pieces.__getitem__, ids.tolist())) == word.encode():
+                    ids_of[word] = ids.astype("<u4").tobytes()
+                else:
+                    none.append(word)
+            return none
 
         for batch in batches:
-            rows = []
+            packed, others = [], []
             for text in batch.column(1):
                 words = split.findall(text.as_py() or "")
                 unseen = set(words).difference(ids_of)
+                other = []
                 if unseen:
                     ids_of.update((w, tokens[w]) for w in unseen if w in tokens)
-                    learn([w for w in unseen if w not in tokens])
-                ids = b"".join(map(ids_of.__getitem__, words))
-                rows.append(_result(ids, path))
+                    ids_of.update((w, np.array(_library(path).encode_ordinary(w), "<u4").tobytes()) for w in unseen if len(w.encode()) > LONG and w not in tokens)
+                    new = [w for w in unseen if w not in ids_of]
+                    other = learn(new) if new else []
+                if other:
+                    ids_of.update((w, (-1 - k).to_bytes(4, "little", signed=True)) for k, w in enumerate(other))
+                packed.append(b"".join(map(ids_of.__getitem__, words)))
+                others.append(other)
+                for w in other:
+                    del ids_of[w]
                 if len(ids_of) > 2 * HELD:
                     ids_of.clear()
-            yield _batch(batch.column(0), rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array(others, pa.list_(pa.string()))], names=["id", "ids", "other"])
 
-    return map_in_arrow(docs, run, _SCHEMA)
+    return map_in_arrow(docs, run, "id long, ids binary, other array<string>")
 
 
 def _is_text(b: bytes) -> bool:
@@ -302,21 +339,27 @@ def _is_text(b: bytes) -> bool:
         return False
 
 
-def _by_shuffle(docs: DataFrame, words: DataFrame, path: str, pattern: str) -> DataFrame:
-    def places(batches):
-        split = splitter(pattern)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([split.findall(t.as_py() or "") for t in batch.column(1)], pa.list_(pa.string()))], names=["id", "words"])
+def _filled(ids: bytes, other: list[np.ndarray]) -> bytes:
+    """The ids with those of the other words in their places."""
+    known = np.frombuffer(ids, "<i4")
+    at = np.flatnonzero(known < 0)
+    parts, before = [], 0
+    for k in at.tolist():
+        parts += (ids[4 * before : 4 * k], other[-1 - known[k]])
+        before = k + 1
+    return b"".join((*parts, ids[4 * before :]))
+
 
-    def finish(batches):
+def _finished(rows: DataFrame, path: str) -> DataFrame:
+    def run(batches):
         for batch in batches:
-            yield _batch(batch.column(0), [_result(np.array(x.as_py() or [], "<u4").tobytes(), path) for x in batch.column(1)])
+            out = []
+            for ids, other in zip(batch.column(1), batch.column(2), strict=True):
+                more = other.as_py() or ()
+                out.append(_result(_filled(ids.as_py(), [np.array(x, "<u4").tobytes() for x in more]) if more else ids.as_py(), path))
+            yield _batch(batch.column(0), out)
 
-    rows = written(map_in_arrow(docs, places, "id long, words array<string>").withColumn("row", F.monotonically_increasing_id()), "bpe-places")
-    tokens = docs.sparkSession.createDataFrame([(b.decode(), [i]) for b, i in read_ranks(path).items() if _is_text(b)], "word string, ids array<int>")
-    each = rows.select("row", F.posexplode("words").alias("k", "word")).join(words.union(tokens), "word")
-    ids = each.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return map_in_arrow(rows.select("row", "id").join(ids, "row", "left").select("id", "ids"), finish, _SCHEMA)
+    return map_in_arrow(rows, run, _SCHEMA)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from spanwise.llm import ngram_join
+from spanwise.llm import bpe, ngram_join
 from spanwise.llm.common import written
 
 
@@ -42,3 +42,17 @@ def test_written_tables_leave_no_shuffle_files(spark):
     table = written(spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count(), "cleanup")
     assert held() <= before and table.count() == 100
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+def test_words_of_few_texts_are_encoded_in_their_rows(spark):
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = spark.createDataFrame([(1, "qxzvkw qxzvkw wvvqjx"), (2, "wvvqjx zzkqwy"), (3, None), (4, "wvvqjx")], "doc_id long, text string")
+    texts = docs.withColumnRenamed("doc_id", "id")
+    assert [tuple(r) for r in bpe.counted_words(texts, path, pattern).collect()] == [("wvvqjx", 2)]
+    assert bpe.encoded_words(texts, path, pattern, 0).count() == 0
+    whole, none = bpe.encode(docs), bpe.encode(docs, broadcast_words=0)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, none.collect()))
+    # No word's place is shuffled, however few words are broadcast.
+    assert "Exchange" not in none._jdf.queryExecution().executedPlan().toString()
